@@ -49,8 +49,11 @@ def row_numbers(
     if not by:
         df = df.withColumn("__all", F.lit(0))
     if seed is None:
-        bounds = df.select(F.percentile_approx(key, [i / 256 for i in range(1, 256)], 2000).alias("q")).scalar()
-        bucketed = df.withColumn("__b", F.size(F.filter(bounds, lambda b: b < F.col(key))))
+        # at most 255 numbers come to the driver
+        quantiles = F.percentile_approx(key, [i / 256 for i in range(1, 256)], 2000)
+        bounds = sorted(set(df.agg(quantiles).first()[0] or []))
+        cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
+        bucketed = df.withColumn("__b", F.size(F.filter(cuts, lambda b: b < F.col(key))))
         order = [F.col(key)]
     else:
         hashed = df.withColumn("__h", keyed_hash(seed, purpose, key))

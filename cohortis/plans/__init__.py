@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cohortis.plans import cleaning, evaluation
+from cohortis.plans import cleaning, evaluation, sampling
 from cohortis.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cleaning", "evaluation"]
+__all__ = ["QUERIES", "SQL", "cleaning", "evaluation", "sampling"]
