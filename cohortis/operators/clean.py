@@ -81,11 +81,13 @@ def study_rules(profile: P.FeatureProfile, adults_only: bool = True) -> list[Rul
 
 
 def model_table(
-    raw: DataFrame, profile: P.FeatureProfile, adults_only: bool = True, drop_eeg: bool = False, strict: bool = True
+    raw: DataFrame, profile: P.FeatureProfile, adults_only: bool = True, drop_eeg: bool = False, strict: bool = True,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """Raw patient table to model table: one lazy plan, plus a one-row aggregate for min-max age.
 
     The age bounds are taken before the drug allowlist applies, as in the study.
+    ``extra`` columns (a row key, say) are carried along in front.
     """
     df = apply_rules(raw, study_rules(profile, adults_only))
     df = df.withColumns({
@@ -99,7 +101,7 @@ def model_table(
     df = treatment_indicators(df, "asm", P.DRUGS)
     df = df.withColumn("outcome_12m", recode(recode("outcome_12m", P.OUTCOME_TEXT), P.OUTCOME_CODE).cast("int"))
     df = df.withColumnRenamed("outcome_12m", P.LABEL)
-    return P.project_existing(df, profile.columns)
+    return P.project_existing(df, [*extra, *profile.columns])
 
 
 def funnel(raw: DataFrame, rules: list[Rule]) -> DataFrame:
