@@ -21,7 +21,7 @@ from cohortis.operators import split as sp
 from cohortis.plans.interaction import LONG, linear_sql
 from cohortis.plans.interaction import weights as formula_weights
 from cohortis.plans.registry import hash_sql, query, r, rounded
-from cohortis.session import reliable_checkpoint
+from cohortis.session import reliable_checkpoint, spread
 from cohortis.sources import profiles as P
 from cohortis.sources import views as V
 
@@ -31,9 +31,9 @@ FOLDS = 3
 def study(spark, sf, folds: int = FOLDS):
     """Model table as (row_id, cohort, features, label, split, fold), written once for all fits."""
     table = clean.model_table(V.cases(spark, sf), P.CONTINUOUS, extra=("row_id",))
-    data = tn.assemble(table, P.CONTINUOUS.features, P.LABEL, ["row_id", "cohort"])
+    data = reliable_checkpoint(tn.assemble(table, P.CONTINUOUS.features, P.LABEL, ["row_id", "cohort"]))
     data = sp.stratified_split(data, "label", "row_id")
-    return reliable_checkpoint(sp.stratified_folds(data, "label", "row_id", folds))
+    return spread(reliable_checkpoint(sp.stratified_folds(data, "label", "row_id", folds)), "row_id")
 
 
 def _parts(data):

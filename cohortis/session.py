@@ -53,6 +53,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core: repartition by key only when there are fewer partitions than cores.
+
+    Meant for checkpointed frames before iterative fits; a large frame is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return reliable_checkpoint(df.repartition(cores, key))
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when its row count proves small; otherwise leave the join to AQE.
 
