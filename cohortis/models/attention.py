@@ -20,12 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortis.functions.dense import stack
+from cohortis.functions.dense import TILE, softmax_maps, stack, vector_function
 from cohortis.functions.keyed import keyed_hash
 from cohortis.operators.evaluate import auc_rank
-from cohortis.operators.interact import BN_EPS, Projections, softmax_maps
+from cohortis.operators.interact import BN_EPS, Projections
 
-TILE = 256
 MOMENTUM = 0.1
 
 
@@ -159,11 +158,7 @@ class AttentionNetwork:
 
     def score(self, df: DataFrame, features: str = "x", out: str = "score") -> DataFrame:
         params = self.params
-
-        @F.pandas_udf("double")
-        def run(x: pd.Series) -> pd.Series:
-            return pd.Series(score_batch(params, stack(x)) if len(x) else [], dtype=float)
-
+        run = vector_function(lambda x: score_batch(params, x), "double")
         return df.withColumn(out, run(F.col(features)))
 
 

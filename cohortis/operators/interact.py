@@ -1,9 +1,9 @@
 """Feature-interaction (attention) operators on array columns.
 
 One row's features attend to each other: row i of the map is the softmax over j
-of theta_i * phi_j. Per-row results are JVM array expressions; the mean map over
-many rows sums maps inside each Arrow batch, so d x d numbers leave a task
-instead of d x d per row.
+of theta_i * phi_j. The d x d work of a row is done on Arrow batches; the mean map
+over many rows sums maps inside each task, so d x d numbers leave a task instead
+of d x d per row.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortis.functions import arrays as A
-from cohortis.functions.dense import dense_residual, stack
+from cohortis.functions.dense import TILE, attend, max_pool, softmax_maps, stack, vector_function
 
 BN_EPS = 1e-5
 LN_EPS = 1e-12
-TILE = 256
 
 
 @dataclass(frozen=True)
@@ -37,47 +36,38 @@ class Projections:
     out: tuple[float, float] = (1.0, 0.0)
 
 
-def attention_rows(theta: Column, phi: Column, causal: bool = False) -> Column:
-    """Map of one row: array (i) of softmax over j of theta_i * phi_j."""
-    def row(t: Column, i: Column) -> Column:
-        if causal:
-            return A.softmax(F.transform(phi, lambda p, j: F.when(j <= i, t * p).otherwise(F.lit(float("-inf")))))
-        return A.softmax(F.transform(phi, lambda p: t * p))
-
-    return F.transform(theta, row)
+def _affine(x: np.ndarray, p: tuple[float, float]) -> np.ndarray:
+    return x * p[0] + p[1]
 
 
 def attention_map(x: Column, p: Projections, sub_sample: bool = False, causal: bool = False) -> Column:
-    phi = A.affine(x, *p.phi)
-    return attention_rows(A.affine(x, *p.theta), A.max_pool(phi) if sub_sample else phi, causal)
+    """Map of each row: array (i) of softmax over j of theta_i * phi_j."""
+    def maps(m: np.ndarray) -> np.ndarray:
+        phi = _affine(m, p.phi)
+        return softmax_maps(_affine(m, p.theta), max_pool(phi) if sub_sample else phi, causal)
+
+    return vector_function(maps, "array<array<double>>")(x)
 
 
-def interaction_map(x: Column) -> Column:
+def interaction_map(x: Column, causal: bool = False) -> Column:
     """The map without learned projections."""
-    return attention_rows(x, x)
+    return attention_map(x, Projections(), causal=causal)
 
 
-def attend(q: Column, k: Column, v: Column, causal: bool = False) -> Column:
-    """softmax(q_i * k_j) applied to v: one number per i. The map itself is not kept."""
-    return F.transform(attention_rows(q, k, causal), lambda weights: A.dot(weights, v))
+def outer_attention(x: Column) -> Column:
+    """softmax(x_i * x_j) applied to x: one number per i. The map itself is not kept."""
+    return vector_function(lambda m: attend(m, m, m))(x)
 
 
 def attention_output(x: Column, p: Projections, sub_sample: bool = False) -> Column:
     """Residual output z = W(A g) + x."""
-    g, phi = A.affine(x, *p.g), A.affine(x, *p.phi)
-    if sub_sample:
-        g, phi = A.max_pool(g), A.max_pool(phi)
-    y = attend(A.affine(x, *p.theta), phi, g)
-    return F.zip_with(y, x, lambda a, b: a * F.lit(float(p.out[0])) + F.lit(float(p.out[1])) + b)
+    def block(m: np.ndarray) -> np.ndarray:
+        g, phi = _affine(m, p.g), _affine(m, p.phi)
+        if sub_sample:
+            g, phi = max_pool(g), max_pool(phi)
+        return _affine(attend(_affine(m, p.theta), phi, g), p.out) + m
 
-
-def softmax_maps(theta: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    """Maps of a batch, shape (rows, d, d)."""
-    s = theta[:, :, None] * phi[:, None, :]
-    s -= s.max(2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    return s
+    return vector_function(block)(x)
 
 
 def mean_attention_table(
@@ -146,10 +136,14 @@ def layer_norm(x: Column, eps: float = LN_EPS) -> Column:
     return A.standardise(x, eps)
 
 
+def _feed_forward(x: np.ndarray, weights, bias) -> np.ndarray:
+    return np.maximum(x @ np.asarray(weights).T + bias, 0.0) + x
+
+
 def feed_forward_block(df: DataFrame, x: str, weights, bias, stats: BatchStats | None = None) -> DataFrame:
     """BN(relu(W x + b) + x)."""
-    summed = df.withColumn(x, dense_residual(weights, bias, "relu")(F.col(x), F.col(x)))
-    return batch_norm(summed, x, stats=stats)
+    layer = vector_function(lambda m: _feed_forward(m, weights, bias))
+    return batch_norm(df.withColumn(x, layer(F.col(x))), x, stats=stats)
 
 
 @dataclass(frozen=True)
@@ -162,22 +156,15 @@ class AttentionWeights:
     final: tuple
 
 
-def _attend_batch(x: np.ndarray, w: AttentionWeights) -> np.ndarray:
+def _attention(x: np.ndarray, w: AttentionWeights) -> np.ndarray:
     """final(attend(q(x), k(x), v(x))) + x for a batch."""
     q, k, v = (x @ np.asarray(m).T + c for m, c in (w.q, w.k, w.v))
-    out = np.empty_like(x)
-    for i in range(0, len(x), TILE):
-        t = slice(i, i + TILE)
-        out[t] = np.einsum("bij,bj->bi", softmax_maps(q[t], k[t]), v[t])
-    return out @ np.asarray(w.final[0]).T + w.final[1] + x
+    return attend(q, k, v) @ np.asarray(w.final[0]).T + w.final[1] + x
 
 
 def attention_block(df: DataFrame, x: str, w: AttentionWeights, stats: BatchStats | None = None) -> DataFrame:
     """BN(final(attend(q(x), k(x), v(x))) + x): one Arrow pass, then normalisation."""
-    @F.pandas_udf("array<double>")
-    def layer(col: pd.Series) -> pd.Series:
-        return pd.Series(list(_attend_batch(stack(col), w)) if len(col) else [], dtype=object)
-
+    layer = vector_function(lambda m: _attention(m, w))
     return batch_norm(df.withColumn(x, layer(F.col(x))), x, stats=stats)
 
 
@@ -199,20 +186,14 @@ def encoder_score(df: DataFrame, x: str, w: StackWeights, out: str = "score") ->
     """
     mean, scale = np.array(w.stats.mean), 1.0 / np.sqrt(np.array(w.stats.var) + BN_EPS)
 
-    @F.pandas_udf("double")
-    def run(col: pd.Series) -> pd.Series:
-        if not len(col):
-            return pd.Series([], dtype=float)
-        src = stack(col)
-        h = np.concatenate([
-            np.einsum("bij,bj->bi", softmax_maps(t, t), t) for t in np.array_split(src, -(-len(src) // TILE))])
-        h = (h @ np.asarray(w.embed[0]).T + w.embed[1] - mean) * scale
+    def run(src: np.ndarray) -> np.ndarray:
+        h = (attend(src, src, src) @ np.asarray(w.embed[0]).T + w.embed[1] - mean) * scale
         for attention, (weights, bias) in [*w.encoder, w.decoder[-1]]:
-            h = (_attend_batch(h, attention) - mean) * scale
-            h = (np.maximum(h @ np.asarray(weights).T + bias, 0.0) + h - mean) * scale
-        return pd.Series(1.0 / (1.0 + np.exp(-(h @ np.asarray(w.head[0]) + w.head[1]))))
+            h = (_attention(h, attention) - mean) * scale
+            h = (_feed_forward(h, weights, bias) - mean) * scale
+        return 1.0 / (1.0 + np.exp(-(h @ np.asarray(w.head[0]) + w.head[1])))
 
-    return df.withColumn(out, run(F.col(x)))
+    return df.withColumn(out, vector_function(run, "double")(F.col(x)))
 
 
 def position_encode(x: Column, pos: Column, d_model: int) -> Column:

@@ -88,11 +88,6 @@ def long_out(src: str) -> str:
     return f"select vec_id, cast(j as int) as j, {r('v')} as v from {src}"
 
 
-def flat_map(df, col: str):
-    rows = df.select("vec_id", F.posexplode(col).alias("i", "weights"))
-    return rounded(rows.select("vec_id", "i", F.posexplode("weights").alias("j", "w")), "w")
-
-
 @query("activations", f"with {LONG}, e as (select *, exp(v - max(v) over (partition by vec_id)) as e from xl) "
        f"select vec_id, cast(j as int) as j, {r('greatest(v, 0)')} as relu, {r('1 / (1 + exp(-v))')} as sigmoid, "
        f"{r('e / sum(e) over (partition by vec_id)')} as softmax from e")
@@ -103,24 +98,19 @@ def activations(spark, sf):
                              F.col("z.s").alias("softmax")), "relu", "sigmoid", "softmax")
 
 
-# The full maps are d x d numbers per row; each is checked through sums that see every cell:
-# its column sums, and its row sums weighted by the cell position.
-def _map_digest(df, col: str):
-    df = df.withColumn("__m", col)
-    width = F.size(F.col("__m")[0])
-    columns = F.transform(F.sequence(F.lit(0), width - 1),
-                          lambda j: F.aggregate("__m", F.lit(0.0), lambda acc, row: acc + row[j]))
-    moments = F.transform("__m", lambda row: A.total(F.transform(row, lambda w, j: w * (j + 1))))
-    zipped = F.posexplode(F.concat(
-        F.transform(columns, lambda v, j: F.struct(F.lit("column_sum").alias("kind"), j.alias("place"), v.alias("w"))),
-        F.transform(moments, lambda v, i: F.struct(F.lit("row_moment").alias("kind"), i.alias("place"), v.alias("w")))))
-    return rounded(df.select("vec_id", zipped.alias("p", "z")).select("vec_id", "z.kind", "z.place", "z.w"), "w")
+# The full maps are d x d numbers per row; each is checked through one number per map row that
+# depends on every cell of it, and its largest cell.
+def _map_digest(df, col):
+    rows = df.select("vec_id", F.posexplode(col).alias("i", "row"))
+    cells = rows.select("vec_id", "i", F.posexplode("row").alias("j", "w"))
+    digest = cells.groupBy("vec_id", "i").agg(
+        F.sum(F.col("w") * (F.col("j") + 1)).alias("moment"), F.max("w").alias("largest"), F.sum("w").alias("total"))
+    return rounded(digest, "moment", "largest", "total")
 
 
 def _digest_sql(maps: str) -> str:
-    return (f"with {LONG}, m as {maps} select vec_id, 'column_sum' as kind, cast(j as int) as place, {r('sum(w)')} as w from m "
-            f"group by vec_id, j union all select vec_id, 'row_moment', cast(i as int), {r('sum(w * (j + 1))')} from m "
-            "group by vec_id, i")
+    return (f"with {LONG}, m as {maps} select vec_id, cast(i as int) as i, {r('sum(w * (j + 1))')} as moment, "
+            f"{r('max(w)')} as largest, {r('sum(w)')} as total from m group by vec_id, i")
 
 
 @query("attention_map", _digest_sql(map_sql(projected_sql(P.theta), projected_sql(P.phi))))
@@ -135,7 +125,7 @@ def interaction_map(spark, sf):
 
 @query("masked_attention", _digest_sql(map_sql("xl", "xl", "k.j <= q.j")))
 def masked_attention(spark, sf):
-    return _map_digest(V.vectors(spark, sf), it.attention_rows(F.col("x"), F.col("x"), causal=True))
+    return _map_digest(V.vectors(spark, sf), it.interaction_map(F.col("x"), causal=True))
 
 
 @query("attention_output", f"with {LONG}, y as {attend_sql(projected_sql(P.theta), projected_sql(P.phi), projected_sql(P.g))} "
@@ -193,8 +183,7 @@ def mean_attention_table(spark, sf):
 
 @query("outer_attention", f"with {LONG} {long_out(attend_sql('xl', 'xl', 'xl'))}")
 def outer_attention(spark, sf):
-    c = F.col("x")
-    return long(V.vectors(spark, sf).select("vec_id", it.attend(c, c, c).alias("y")), "y")
+    return long(V.vectors(spark, sf).select("vec_id", it.outer_attention(F.col("x")).alias("y")), "y")
 
 
 @query("layer_norm", f"with {LONG} select vec_id, cast(j as int) as j, " + r(

@@ -23,6 +23,9 @@ def local_session(name: str = "cohortis", cores: str | int = "*", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # Wide encodings make generated methods the JIT refuses (over 8000 bytes of bytecode);
+        # with this limit Spark uses per-operator code there, which measured twice as fast.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():

@@ -14,6 +14,12 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than cores (a few small files); larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _flag(test: str) -> str:
     return f"case when {test} then 'Y' else 'N' end"
 
@@ -140,6 +146,6 @@ def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, label, x array<double>)."""
-    return load(spark, sf, "embeddings").select(
+    return parallel(load(spark, sf, "embeddings")).select(
         "vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("x")
     )
