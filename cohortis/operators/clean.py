@@ -23,14 +23,19 @@ from cohortis.sources import profiles as P
 
 @dataclass(frozen=True)
 class Rule:
-    """A row rule: rows where ``drop_when`` is true leave; null counts as not true."""
+    """A row rule: rows where ``drop_when`` is true leave; null counts as not true.
+
+    ``keep_when`` states the same from the other side in plain comparisons,
+    which the file source can use to skip row groups.
+    """
 
     name: str
     drop_when: Column
+    keep_when: Column | None = None
 
 
 def keep(rule: Rule) -> Column:
-    return ~F.coalesce(rule.drop_when, F.lit(False))
+    return rule.keep_when if rule.keep_when is not None else ~F.coalesce(rule.drop_when, F.lit(False))
 
 
 def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -41,25 +46,29 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def drop_sentinels(col: str, values: list[str]) -> Rule:
-    return Rule(col, F.col(col).isNull() | F.col(col).isin(*values))
+    c = F.col(col)
+    return Rule(col, c.isNull() | c.isin(*values), c.isNotNull() & ~c.isin(*values))
 
 
 def drop_null(col: str) -> Rule:
-    return Rule(f"{col}_null", F.col(col).isNull())
+    return Rule(f"{col}_null", F.col(col).isNull(), F.col(col).isNotNull())
 
 
 def drop_value(col: str, value: str) -> Rule:
-    return Rule(f"{col}_value", F.col(col) == F.lit(value))
+    c = F.col(col)
+    return Rule(f"{col}_value", c == value, c.isNull() | (c != value))
 
 
 def younger_than(col: str, years: float) -> Rule:
     # an unknown age does not pass a ">=" keep filter either
-    return Rule("minor", F.col(col).isNull() | (F.col(col) < years))
+    c = F.col(col)
+    return Rule("minor", c.isNull() | (c < years), c >= years)
 
 
 def not_allowed(col: str, values: list[str]) -> Rule:
     """Values off the allowlist leave; null stays."""
-    return Rule(f"{col}_off_list", ~F.col(col).isin(*values))
+    c = F.col(col)
+    return Rule(f"{col}_off_list", ~c.isin(*values), c.isNull() | c.isin(*values))
 
 
 def study_rules(profile: P.FeatureProfile, adults_only: bool = True) -> list[Rule]:
