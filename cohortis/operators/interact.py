@@ -43,8 +43,12 @@ def _affine(x: np.ndarray, p: tuple[float, float]) -> np.ndarray:
 def attention_map(x: Column, p: Projections, sub_sample: bool = False, causal: bool = False) -> Column:
     """Map of each row: array (i) of softmax over j of theta_i * phi_j."""
     def maps(m: np.ndarray) -> np.ndarray:
-        phi = _affine(m, p.phi)
-        return softmax_maps(_affine(m, p.theta), max_pool(phi) if sub_sample else phi, causal)
+        theta, phi = _affine(m, p.theta), _affine(m, p.phi)
+        phi = max_pool(phi) if sub_sample else phi
+        out = np.empty((len(m), theta.shape[1], phi.shape[1]))
+        for i in range(0, len(m), TILE):
+            out[i:i + TILE] = softmax_maps(theta[i:i + TILE], phi[i:i + TILE], causal)
+        return out
 
     return vector_function(maps, "array<array<double>>")(x)
 

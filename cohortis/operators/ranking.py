@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +23,9 @@ BUCKET_BITS = 12
 # Largest group of pre-aggregated cells that one window task sorts.
 CELLS_PER_TASK = 2_000_000
 QUANTILE_BUCKETS = 512
+# Cut points for rows ordered by a numeric key, and the rows wanted between two of them.
+KEY_QUANTILES = 4_096
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _offsets(bucketed: DataFrame, by: list[str]) -> DataFrame:
@@ -30,6 +34,21 @@ def _offsets(bucketed: DataFrame, by: list[str]) -> DataFrame:
     return sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
 
 
+def _quantile_buckets(df: DataFrame, key: str) -> DataFrame:
+    """Add ``__b``, the place of ``key`` among approximate quantiles (a binary search per row).
+
+    At most KEY_QUANTILES numbers come to the driver; a small frame keeps only some of them.
+    """
+    steps = [i / KEY_QUANTILES for i in range(1, KEY_QUANTILES)]
+    n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(F.col(key).cast("double"), steps, 5 * KEY_QUANTILES)).first()
+    wanted = max(8, min(KEY_QUANTILES, n // ROWS_PER_BUCKET))
+    bounds = sorted(set((found or [])[:: max(1, KEY_QUANTILES // wanted)]))
+    if not bounds:
+        return df.withColumn("__b", F.lit(0))
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__kd", outputCol="__b", handleInvalid="keep")
+    return cut.transform(df.withColumn("__kd", F.col(key).cast("double"))).drop("__kd")
+
+
 def row_numbers(
     df: DataFrame,
     by: list[str],
@@ -49,11 +68,7 @@ def row_numbers(
     if not by:
         df = df.withColumn("__all", F.lit(0))
     if seed is None:
-        # at most 255 numbers come to the driver
-        quantiles = F.percentile_approx(key, [i / 256 for i in range(1, 256)], 2000)
-        bounds = sorted(set(df.agg(quantiles).first()[0] or []))
-        cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-        bucketed = df.withColumn("__b", F.size(F.filter(cuts, lambda b: b < F.col(key))))
+        bucketed = _quantile_buckets(df, key)
         order = [F.col(key)]
     else:
         hashed = df.withColumn("__h", keyed_hash(seed, purpose, key))

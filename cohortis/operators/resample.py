@@ -27,13 +27,17 @@ def class_deficits(df: DataFrame, label: str) -> DataFrame:
 def random_oversample(df: DataFrame, label: str, key: str, seed: int = 42, copy: str = "copy_no") -> DataFrame:
     """Draw with replacement until every class has as many rows as the largest.
 
-    Original rows have copy number 0, drawn copies 1, 2, ...
+    Original rows have copy number 0, drawn copies 1, 2, ... Only classes that lack rows are
+    numbered and shuffled; the largest class passes through.
     """
-    draws = expand_counts(class_deficits(df, label), "__deficit", "__draw")
+    short = class_deficits(df, label).where("__deficit > 0")
+    names = small_side(short.select(F.col(label).alias("__l")))
+    minority = df.join(names, F.col(label).eqNullSafe(F.col("__l")), "left_semi")
+    draws = expand_counts(short, "__deficit", "__draw")
     draws = draws.select(
         label, (F.col("__draw") + 1).alias(copy), keyed_index(F.col("__n"), seed, "over", label, "__draw").alias("__row")
     )
-    rows = row_numbers(df, [label], key, seed, "row", "__row")
+    rows = row_numbers(minority, [label], key, seed, "row", "__row")
     copies = join_on(draws, rows, [label, "__row"]).drop("__row")
     return df.withColumn(copy, F.lit(0).cast("bigint")).unionByName(copies)
 
@@ -109,20 +113,36 @@ def smote(
     return original.unionByName(made)
 
 
-def borderline_seeds(
-    df: DataFrame, label: str, key: str, minority, vector: str = "x", m: int = 10
-) -> DataFrame:
-    """Minority rows with at least half, but not all, of their m nearest rows in other classes."""
+def _class_mix(df: DataFrame, label: str, key: str, minority, vector: str, m: int) -> DataFrame:
+    """(id, other_class, neighbours) of each minority row over its m nearest rows of any class."""
     everyone = df.select(F.lit(0).alias("__one"), key, vector)
     pairs = nearest_in_group(everyone, "__one", key, vector, m, queries=df.where(F.col(label) == minority).select(key))
     others = df.select(F.col(key).alias("neighbour"), F.col(label).alias("__nl"))
-    mix = pairs.join(others, "neighbour").groupBy("id").agg(
+    return pairs.join(others, "neighbour").groupBy("id").agg(
         F.count(F.when(F.col("__nl") != minority, 1)).alias("other_class"), F.count(F.lit(1)).alias("neighbours")
     )
+
+
+def borderline_seeds(
+    df: DataFrame, label: str, key: str, minority, vector: str = "x", m: int = 10
+) -> DataFrame:
+    """Minority rows with at least half, but not all, of their m nearest rows in other classes."""
+    mix = _class_mix(df, label, key, minority, vector, m)
     danger = (F.col("other_class") * 2 >= F.col("neighbours")) & (F.col("other_class") < F.col("neighbours"))
     return mix.select(F.col("id").alias(key), "other_class", danger.cast("int").alias("danger"))
 
 
+def adaptive_allocation(
+    df: DataFrame, label: str, key: str, minority, vector: str = "x", k: int = 5
+) -> DataFrame:
+    """How many synthetic rows each minority row seeds: in proportion to its share of other-class neighbours."""
+    mix = _class_mix(df, label, key, minority, vector, k).withColumn("share", F.col("other_class") / F.col("neighbours"))
+    deficit = class_deficits(df, label).where(F.col(label) == minority).select("__deficit").scalar()
+    total = mix.agg(F.sum("share").alias("s")).scalar()
+    return mix.select(F.col("id").alias(key), "share",
+                      F.round(F.col("share") / F.nullif(total, F.lit(0.0)) * deficit).cast("bigint").alias("n_synthetic"))
+
+
 def null_treatment_augment(df: DataFrame, treatments: list[str], label: str) -> DataFrame:
     """Append a copy of every row with no treatment and a negative label."""
     kinds = dict(df.dtypes)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,17 +85,36 @@ def drop_low_correlation(df: DataFrame, features: list[str], label: str, thresho
 
 
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """Correlation matrix as (row_feature, col_feature, corr), from one aggregate pass.
+    """Correlation matrix as (row_feature, col_feature, corr); each pair uses the rows where both are present.
 
-    Sums and co-moments of all columns are gathered by ``corr`` aggregates over
-    the upper triangle; the lower one is its mirror.
+    One aggregate finds the column means; then each task turns its Arrow batches
+    into matrix products of the centred columns, and only d x d sums are
+    shuffled. Centring keeps the sums accurate over many rows.
     """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"c{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("row_feature"), F.lit(y).alias("col_feature"),
-                                  F.col(f"c{i}").alias("corr")))
-    return row.select(F.inline(F.array(*cells)))
+    numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(features)])
+    names = numeric.columns
+    first = numeric.agg(*[F.avg(c) for c in names]).first()
+    centre = np.array([0.0 if v is None else v for v in first])
+    parts = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def sums(batches):
+        total = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - centre
+            here = ~np.isnan(x)
+            x = np.where(here, x, 0.0)
+            m, sq = here.astype(float), x * x
+            step = np.stack([m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x])
+            total = step if total is None else total + step
+        if total is not None:
+            i, j = np.indices(total.shape[1:])
+            yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"),
+                                **{p: t.ravel() for p, t in zip(parts, total)}})
+
+    schema = "i int, j int, " + ", ".join(f"{p} double" for p in parts)
+    t = numeric.mapInPandas(sums, schema).groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in parts])
+    n, sx, sy, sxx, syy, sxy = (F.col(p) for p in parts)
+    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    labels = F.array(*[F.lit(c) for c in features])
+    return t.select(labels[F.col("i")].alias("row_feature"), labels[F.col("j")].alias("col_feature"),
+                    ((n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))).alias("corr"))

@@ -152,6 +152,14 @@ def borderline_seeds(spark, sf):
     return rs.borderline_seeds(V.vectors(spark, sf), "label", "vec_id", 3)
 
 
+@query("adasyn_allocation", f"with {VEC_CTE}, {near_cte(5, False)}, m as (select vec_id, count(*) filter (other <> 5) / count(*) as share "
+       "from near where label = 5 group by vec_id), g as (select max(n) - max(n) filter (label = 5) as deficit from "
+       "(select label, count(*) as n from v group by label)) "
+       f"select vec_id, {r('share')} as share, cast(round(share / nullif(sum(share) over (), 0) * deficit) as bigint) as n_synthetic from m, g")
+def adasyn_allocation(spark, sf):
+    return rounded(rs.adaptive_allocation(V.vectors(spark, sf), "label", "vec_id", 5), "share")
+
+
 @query("knn_vote", f"with {VEC_CTE}, {near_cte(5, False)}, c as (select vec_id, other, count(*) as votes from near group by 1, 2) "
        "select vec_id, other as predicted, votes from (select *, row_number() over (partition by vec_id order by votes desc, other) "
        "as rn from c) where rn = 1")

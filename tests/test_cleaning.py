@@ -127,6 +127,15 @@ def test_drop_low_correlation(spark):
     assert stats.drop_low_correlation(df, ["a", "b"], "y", 0.05).columns == ["b", "y"]
 
 
+def test_correlation_uses_pairs_where_both_are_present(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, None, 1.0), (3.0, 7.0, 1.0), (5.0, 3.0, 1.0)],
+                               "a double, b double, c double").repartition(3)
+    got = {(r[0], r[1]): r[2] for r in stats.correlation_pairs(df, ["a", "b", "c"]).collect()}
+    want = df.agg(F.corr("a", "b")).first()[0]
+    assert got["a", "b"] == pytest.approx(want) and got["b", "a"] == pytest.approx(want)
+    assert got["a", "a"] == pytest.approx(1.0) and got["c", "a"] is None
+
+
 def test_model_table_roundtrip(spark, tmp_path):
     df = clean.model_table(raw(spark, {}, {"age_init": 50.0}), P.BUCKETED)
     T.write_table(df, str(tmp_path / "csv"))

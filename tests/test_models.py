@@ -151,6 +151,11 @@ def test_adaboost(blobs):
     assert len(cl.AdaBoost(rounds=3).fit(blobs.where("label = 1")).trees) == 1
 
 
+def test_adaboost_over_forests(blobs):
+    model = cl.AdaBoost(rounds=2, base=G.forest(numTrees=2, maxDepth=1)).fit(blobs)
+    assert auc(model.score(blobs)) > 0.8
+
+
 def test_samme_weights_sum_to_one(blobs):
     df = blobs.select("id", "label", F.when(F.col("id") % 5 == 0, 1 - F.col("label")).otherwise(F.col("label")).alias("p"),
                       F.lit(0.5).alias("w"))
