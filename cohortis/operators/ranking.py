@@ -24,7 +24,7 @@ BUCKET_BITS = 12
 CELLS_PER_TASK = 2_000_000
 QUANTILE_BUCKETS = 512
 # Cut points for rows ordered by a numeric key, and the rows wanted between two of them.
-KEY_QUANTILES = 4_096
+KEY_QUANTILES = 1_024
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -39,8 +39,9 @@ def _quantile_buckets(df: DataFrame, key: str) -> DataFrame:
 
     At most KEY_QUANTILES numbers come to the driver; a small frame keeps only some of them.
     """
-    steps = [i / KEY_QUANTILES for i in range(1, KEY_QUANTILES)]
-    n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(F.col(key).cast("double"), steps, 5 * KEY_QUANTILES)).first()
+    steps = ", ".join(f"{i / KEY_QUANTILES!r}D" for i in range(1, KEY_QUANTILES))
+    quantiles = F.expr(f"percentile_approx(cast(`{key}` as double), array({steps}), {5 * KEY_QUANTILES})")
+    n, found = df.agg(F.count(F.lit(1)), quantiles).first()
     wanted = max(8, min(KEY_QUANTILES, n // ROWS_PER_BUCKET))
     bounds = sorted(set((found or [])[:: max(1, KEY_QUANTILES // wanted)]))
     if not bounds:
