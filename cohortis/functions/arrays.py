@@ -14,9 +14,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def as_doubles(c: Column | str) -> Column:
-    return _col(c).cast("array<double>")
-
 
 def total(c: Column | str) -> Column:
     return F.aggregate(_col(c), F.lit(0.0), lambda acc, v: acc + v)
@@ -26,13 +23,6 @@ def mean(c: Column | str) -> Column:
     return total(c) / F.size(_col(c))
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return total(F.zip_with(_col(a), _col(b), lambda x, y: x * y))
-
-
-def affine(c: Column | str, scale: float, shift: float) -> Column:
-    return F.transform(_col(c), lambda v: v * F.lit(float(scale)) + F.lit(float(shift)))
-
 
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it in ``body(value)`` — a one-element transform."""
@@ -69,7 +59,3 @@ def standardise(c: Column | str, eps: float = 1e-12) -> Column:
             lambda s: F.transform(x, lambda v: (v - m) / s),
         ),
     )
-
-
-def rounded(c: Column | str, digits: int = 6) -> Column:
-    return F.transform(_col(c), lambda v: F.round(v, digits))

@@ -216,8 +216,7 @@ class AttentionClassifier:
             for i in range(0, len(order), cfg.batch):
                 pick = order[i:i + cfg.batch]
                 if len(pick) < 2 <= len(x):
-                    continue_from = order[max(0, i - 1):i + cfg.batch]  # a single row has no batch variance
-                    pick = continue_from
+                    pick = order[i - 1:i + 1]  # a single row has no batch variance
                 loss, gr, stats = loss_and_gradient(p, x[pick], y[pick], rng, cfg.attention_dropout, cfg.dropout)
                 losses.append(loss)
                 for name, grad in gr.items():
