@@ -10,6 +10,7 @@ from cohortis.functions.keyed import HASH_BITS, keyed_hash
 from cohortis.llm.common import Scratch, n_words
 
 BUCKET_BITS = 14
+CLASSES_PER_E = 8  # size classes for each factor of e; one document of each may fill what the cut leaves open
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
@@ -41,7 +42,8 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
     place = keyed_hash(seed, "mix", F.coalesce(F.col(key).cast("string"), F.lit("null")))
     sized = docs.select(F.col(key).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"),
                         place.alias("place"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
-    rows = scratch.write("rows", sized.withColumn("bucket", F.shiftright("place", HASH_BITS - BUCKET_BITS)))
+    rows = scratch.write("rows", sized.withColumn("bucket", F.shiftright("place", HASH_BITS - BUCKET_BITS))
+                         .withColumn("rid", F.monotonically_increasing_id()))
     sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
     # One row a source: their turns need an order over the sources, not over the documents.
     turn = F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())) - 1
@@ -59,27 +61,49 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
            .agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("in_bucket"), "bucket").alias("base")))
     plan = scratch.write("plan", filled.alias("f").join(cut.alias("k"), F.expr("f.src <=> k.src"), "left")
                          .select("f.*", "k.cut", "k.base"))
-    full = (rows.alias("r").join(plan.alias("p"), F.expr("r.src <=> p.src"))
-            .select("r.*", "source_size", "target", "whole", "rest", "cut", "base"))
-    edge = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
-    order = Window.partitionBy("src").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = (full.filter(edge).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-              .withColumn("more", (F.col("before") + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)))
-    others = full.filter(~edge).withColumn("before", F.lit(0).cast("long")).withColumn(
-        "more", (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))) & (F.col("rest") > 0))
-    return at_cut.unionByName(others).select(
-        "id", "src", "size", "source_size", "target", (F.col("whole") + F.col("more").cast("long")).alias("copies"),
+    spare = _marked(rows, plan).filter("cut is not null").groupBy("src").agg(
+        F.first("rest").alias("rest"), F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("took"))
+    spare = scratch.write("spare", spare.select("src", (F.col("rest") - F.col("took")).alias("spare")))
+    free = _marked(rows, plan).filter("not more and size > 0").select("src", "size", "place", "rid")
+    choice = free.withColumn("class", F.floor(F.log("size") * CLASSES_PER_E)).groupBy("src", "class").agg(
+        F.min(F.struct("place", "rid", "size")).alias("doc"))
+    choices = choice.groupBy("src").agg(F.reverse(F.array_sort(F.collect_list(
+        F.struct("doc.size", "doc.place", "doc.rid")))).alias("docs"))
+    fits = F.aggregate("docs", F.struct(F.col("spare").alias("left"), F.array().cast("array<long>").alias("extra")),
+                       lambda acc, d: F.when(d["size"] <= acc["left"], F.struct(
+                           (acc["left"] - d["size"]).alias("left"), F.concat(acc["extra"], F.array(d["rid"])).alias("extra")
+                       )).otherwise(acc), lambda acc: acc["extra"])
+    extra = spare.alias("s").join(choices.alias("c"), F.expr("s.src <=> c.src")).select("s.src", fits.alias("extra"))
+    plan = scratch.write("final", plan.alias("p").join(extra.alias("e"), F.expr("p.src <=> e.src"), "left")
+                         .select("p.*", "e.extra"))
+    more = F.col("more") | F.coalesce(F.array_contains("extra", F.col("rid")), F.lit(False))
+    return _marked(rows, plan).select(
+        "id", "src", "size", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"),
         *[f"`c_{c}`" for c in carry])
 
 
+def _marked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan and ``more``: the document lies before the cut of its source.
+
+    The running size is taken within the bucket of the cut alone; before it all rows go in, after it none.
+    """
+    full = rows.alias("r").join(plan.alias("p"), F.expr("r.src <=> p.src")).drop(F.col("p.src"))
+    edge = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    order = Window.partitionBy("src").orderBy("place", "id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = full.filter(edge).withColumn("more", F.col("base") + F.sum("size").over(order) <= F.col("rest"))
+    before = F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))
+    return at_cut.unionByName(full.filter(~edge).withColumn("more", before & (F.col("rest") > 0)))
+
+
 def mix_plan(docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 11,
              text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """Per document: ``key``, ``source``, size (words), source_size, target (of its source) and copies.
 
     Sources in code point order, null last, take ``weights`` in turn. Each document is repeated
     ``floor(target / source_size)`` times; the rest of the target is filled with one more repetition of the documents
-    that come first in a seeded order of the source, cut where the running size comes nearest to the rest. So a
-    source's words miss its target by half a document at most, whatever its documents' sizes.
+    that come first in a seeded order of the source, for as long as their running size fits in it. What the first one
+    that does not fit leaves open is filled from the largest down with one document of each size class (about a
+    hundred classes, whatever the corpus), where it fits.
 
     The running size is taken over hash buckets first, then only over the rows of the one bucket in which the cut
     falls: no task orders a whole source. Reruns agree, since the order is a keyed hash of the document id.
