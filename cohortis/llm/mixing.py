@@ -69,11 +69,15 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
         F.min(F.struct("place", "rid", "size")).alias("doc"))
     choices = choice.groupBy("src").agg(F.reverse(F.array_sort(F.collect_list(
         F.struct("doc.size", "doc.place", "doc.rid")))).alias("docs"))
-    fits = F.aggregate("docs", F.struct(F.col("spare").alias("left"), F.array().cast("array<long>").alias("extra")),
-                       lambda acc, d: F.when(d["size"] <= acc["left"], F.struct(
-                           (acc["left"] - d["size"]).alias("left"), F.concat(acc["extra"], F.array(d["rid"])).alias("extra")
-                       )).otherwise(acc), lambda acc: acc["extra"])
-    extra = spare.alias("s").join(choices.alias("c"), F.expr("s.src <=> c.src")).select("s.src", fits.alias("extra"))
+    filled_up = F.aggregate(
+        "docs", F.struct(F.col("spare").alias("left"), F.array().cast("array<long>").alias("rids")),
+        lambda acc, d: F.when(d["size"] <= acc["left"], F.struct(
+            (acc["left"] - d["size"]).alias("left"), F.concat(acc["rids"], F.array(d["rid"])).alias("rids"))).otherwise(acc))
+    left = F.col("fit.left")
+    nearer = F.filter("docs", lambda d: (d["size"] < 2 * left) & ~F.array_contains("fit.rids", d["rid"]))
+    over = F.array_min(F.transform(nearer, lambda d: F.struct(F.abs(left - d["size"]), d["place"], d["rid"].alias("rid"))))
+    extra = spare.alias("s").join(choices.alias("c"), F.expr("s.src <=> c.src")).withColumn("fit", filled_up).select(
+        "s.src", F.concat("fit.rids", F.filter(F.array(over["rid"]), lambda r: r.isNotNull())).alias("extra"))
     plan = scratch.write("final", plan.alias("p").join(extra.alias("e"), F.expr("p.src <=> e.src"), "left")
                          .select("p.*", "e.extra"))
     more = F.col("more") | F.coalesce(F.array_contains("extra", F.col("rid")), F.lit(False))
@@ -103,7 +107,7 @@ def mix_plan(docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs
     ``floor(target / source_size)`` times; the rest of the target is filled with one more repetition of the documents
     that come first in a seeded order of the source, for as long as their running size fits in it. What the first one
     that does not fit leaves open is filled from the largest down with one document of each size class (about a
-    hundred classes, whatever the corpus), where it fits.
+    hundred classes, whatever the corpus) where it fits, and at last with the one that comes nearest beyond.
 
     The running size is taken over hash buckets first, then only over the rows of the one bucket in which the cut
     falls: no task orders a whole source. Reruns agree, since the order is a keyed hash of the document id.
