@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortis.llm import line_dedup, mixing, packing, quality, sharding, simhash, token_counts, topk, url_filter, vector_dedup
+from cohortis.llm import (
+    line_dedup, mixing, packing, quality, sharding, simhash, sql, token_counts, topk, url_filter, vector_dedup,
+)
 from cohortis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,11 +27,11 @@ RULES = [
 ]
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, statement: str | None = None):
     def add(fn):
         QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
+        if statement is not None:
+            SQL[name] = statement
         return fn
     return add
 
@@ -52,7 +54,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_to_shards(digests, SHARDS).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-@query("op2_vector_dedup")
+@query("op2_vector_dedup", sql.VECTOR_DEDUP)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.9)
 
@@ -85,15 +87,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op6_topk")
+@query("op6_topk", sql.TOP_K)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantise(table(spark, sf_dir, "embeddings"), 64.0, "embedding", "vec_id")
     return topk.top_k(vectors.filter(F.col("id") % 20 == 0), vectors, 20)
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", sql.LINE_DEDUP)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.withColumn("first_docs", F.array_join("first_docs", ","))
 
 
 PAGE_OUTCOME = "bad"
@@ -111,7 +114,7 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(labels, "doc", "left").drop("doc")
 
 
-@query("op8_url_filter")
+@query("op8_url_filter", sql.url_filter(RULES))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(page_outcomes(spark, sf_dir), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
