@@ -115,24 +115,34 @@ def _canonical(edges: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Union-find over 0..n-1; ``join`` says whether two sets became one."""
+    """Union-find over 0..n-1 that keeps the links which joined two sets: a spanning forest of all links added."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.parent[max(x, y)] = min(x, y)
-        return True
+        self.label = np.arange(n)  # the smallest member of each one's set
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Adds the links a[i] - b[i]; links within one set cost no more than a comparison."""
+        apart = self.label[a] != self.label[b]
+        a, b = a[apart], b[apart]
+        _, first = np.unique(self.label[a] * len(self.label) + self.label[b], return_index=True)
+        parent = self.label.tolist()
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        joined = False
+        for p, q in zip(a[first].tolist(), b[first].tolist()):
+            x, y = find(p), find(q)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                self.links.append((p, q))
+                joined = True
+        if joined:
+            self.label = np.array([find(x) for x in range(len(parent))])
 
 
 def ascii_lower(c: Column) -> Column:

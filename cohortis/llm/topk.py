@@ -110,6 +110,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, range_rows: in
     n_sets = max(1, -(-queries.count() // query_rows))
     docs = scratch.write("docs", candidates.withColumn("__sign", signs).repartitionByRange(n_ranges, "__sign", "id")
                          .select("id", "v", F.spark_partition_id().alias("part"), "__sign"))
+    n_ranges = (docs.agg(F.max("part")).first()[0] or 0) + 1
     asked = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_sets)).cast("int"))
     sides = (docs.select("id", "v", F.lit(False).alias("q"), F.col("__sign").alias("sign"), F.col("part").alias("range"),
                          F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1))).alias("set"))

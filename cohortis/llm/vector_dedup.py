@@ -185,19 +185,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
         parts = [{"v": full[s], "code": code[s], "factor": factor[s]} for s in sides]
         if any(len(s) == 0 for s in sides):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        counts, forest, a, b = np.zeros(len(nodes), np.int64), Forest(len(nodes)), [], []
+        counts, forest = np.zeros(len(nodes)), Forest(len(nodes))
         for i, j in linked_pairs(parts[0], parts[1] if len(parts) > 1 else None, threshold):
             i, j = sides[0][i], sides[-1][j]
-            np.add.at(counts, i, weights[j])
-            np.add.at(counts, j, weights[i])
-            for p, q in zip(i.tolist(), j.tolist()):
-                if forest.join(p, q):
-                    a.append(p)
-                    b.append(q)
+            counts += np.bincount(i, weights[j], len(nodes)) + np.bincount(j, weights[i], len(nodes))
+            forest.add(i, j)
         found = np.flatnonzero(counts)
-        return pa.table({"a": np.concatenate([nodes[found], nodes[np.array(a, np.int64)]]),
-                         "b": np.concatenate([np.full(len(found), -1, np.int64), nodes[np.array(b, np.int64)]]),
-                         "n": np.concatenate([counts[found], np.zeros(len(a), np.int64)])})
+        a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.concatenate([nodes[found], nodes[a]]),
+                         "b": np.concatenate([np.full(len(found), -1, np.int64), nodes[b]]),
+                         "n": np.concatenate([counts[found].astype(np.int64), np.zeros(len(a), np.int64)])})
 
     results = scratch.write("results", units.repartition(min(n_units, 20_000), "x", "y").groupBy("x", "y").applyInArrow(
         compare, "a long, b long, n long"))
