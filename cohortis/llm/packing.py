@@ -169,8 +169,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", se
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     packed = pieces.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(length).cast("int").alias("size"))
     rows = scratch.write("rows", packed.withColumn("rid", F.monotonically_increasing_id()))
-    histogram = {r["size"]: r["count"] for r in rows.groupBy("size").count().collect()}
-    if any(n is None or not 0 < n <= capacity for n in histogram):
+    valid = F.when(F.col("size").between(1, capacity), F.col("size")).otherwise(0).alias("valid")
+    histogram = {r["valid"]: r["count"] for r in rows.groupBy(valid).count().collect()}
+    if 0 in histogram:
         raise ValueError(f"piece lengths must lie in 1 to {capacity}")
     places = pieces.sparkSession.sparkContext.broadcast(placements(pack_histogram(histogram, capacity)))
     salts = max(64, -(-sum(histogram.values()) // ROWS_PER_SALT))

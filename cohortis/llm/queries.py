@@ -129,7 +129,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-@query("op10_mixing")
+@query("op10_mixing", sql.mixing(MIX_WEIGHTS))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), MIX_WEIGHTS)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

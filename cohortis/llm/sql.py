@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from cohortis.llm.line_dedup import MIN_WORDS
+from cohortis.llm.mixing import CLASSES_PER_E
 from cohortis.llm.url_filter import MAX_RHO, MIN_RHO, SUFFIXES
+from cohortis.plans.registry import hash_sql
 
 VECTOR_DEDUP = """
 WITH RECURSIVE v AS (
@@ -113,3 +115,54 @@ SELECT page_id, parts.host AS host, path, {rule.replace("host", "parts.host")} A
   {verdict.replace("host", "parts.host")} AS verdict
 FROM parts JOIN host_ ON host_.host = parts.host
 """
+
+
+def mixing(weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 11) -> str:
+    listed = ", ".join(f"{float(w)}::DOUBLE" for w in weights)
+    place = hash_sql(seed, "mix", "CAST(doc_id AS VARCHAR)")
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source AS src, {place} AS place,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT src, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) * {max_epochs} AS cap,
+    [{listed}][(row_number() OVER (ORDER BY src NULLS LAST) - 1) % {len(weights)} + 1] AS weight FROM d GROUP BY src
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, src) AS k,
+    ({share} * sum(CAST(source_size AS DOUBLE)) OVER () - (sum(cap) OVER (ORDER BY cap / weight, src) - cap))
+      / (sum(weight) OVER (ORDER BY cap / weight DESC, src DESC)) AS level FROM s
+), t AS (
+  SELECT src, source_size, CASE WHEN k < coalesce(f.k1, 1e18) THEN cap ELSE weight * f.l END AS target
+  FROM o, (SELECT min(k) AS k1, min_by(level, k) AS l FROM o WHERE weight * level <= cap) f
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
+), r AS (
+  SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.src ORDER BY place, doc_id, size) AS upto
+  FROM d JOIN p ON p.src IS NOT DISTINCT FROM d.src
+), marked AS (SELECT *, rest > 0 AND upto <= rest AS more FROM r
+), spare AS (
+  SELECT src, any_value(rest) - CAST(sum(CASE WHEN more THEN size ELSE 0 END) AS DOUBLE) AS spare FROM marked
+  GROUP BY src HAVING any_value(source_size) > any_value(rest)
+), classes AS (
+  SELECT src, min_by(size, place) AS size, min(place) AS place FROM marked WHERE NOT more AND size > 0
+  GROUP BY src, floor(ln(size) * {CLASSES_PER_E})
+), candidates AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY size DESC, place DESC) AS k FROM classes
+), fill AS (
+  SELECT src, CAST(0 AS BIGINT) AS k, spare AS left_, CAST(NULL AS BIGINT) AS pick FROM spare
+  UNION ALL
+  SELECT f.src, c.k, CASE WHEN c.size <= left_ THEN left_ - c.size ELSE left_ END,
+    CASE WHEN c.size <= left_ THEN c.place END
+  FROM fill f JOIN candidates c ON c.src IS NOT DISTINCT FROM f.src AND c.k = f.k + 1
+), over_ AS (
+  SELECT c.src, arg_min(c.place, {{'miss': abs(e.left_ - c.size), 'place': c.place}}) AS pick
+  FROM candidates c JOIN (SELECT src, arg_max(left_, k) AS left_ FROM fill GROUP BY src) e
+    ON c.src IS NOT DISTINCT FROM e.src
+  WHERE c.size < 2 * e.left_ AND NOT EXISTS (
+    SELECT 1 FROM fill f WHERE f.src IS NOT DISTINCT FROM c.src AND f.pick = c.place) GROUP BY c.src
+), extra AS (SELECT src, pick FROM fill WHERE pick IS NOT NULL UNION SELECT src, pick FROM over_)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN more OR extra.pick IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM marked m LEFT JOIN extra ON extra.src IS NOT DISTINCT FROM m.src AND extra.pick = m.place
+"""
