@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +17,38 @@ from pyspark.sql.window import Window
 from cohortis.llm.common import Scratch
 
 CAPACITY = 2048
-CACHE_ENTRIES = 300_000  # pre-tokens that a worker remembers
+CACHE_ENTRIES = 600_000  # pre-tokens that a worker remembers
 CACHE_BYTES = 48  # longest of them
 ROWS_PER_SALT = 1_000_000  # pieces of one length that a task ranks, about
 
 
+def units_of(word: str) -> list[str]:
+    """Parts of `` word`` (the word behind one space) that the tokenizer's pre-tokenizer never joins.
+
+    A newline between visible characters stands alone, and so does a full stop or comma behind a letter or digit at
+    the end of a line. Other words are one part.
+    """
+    lines = word.split("\n")
+    if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        return [" " + word]
+    units = []
+    for i, line in enumerate(lines):
+        units += ["\n"] if i else []
+        whole = line if i else " " + line
+        units += [whole[:-1], whole[-1]] if line[-1] in ".," and len(line) > 1 and line[-2].isalnum() else [whole]
+    return units
+
+
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 class CachedEncoder:
     """ids of a text as little-endian uint32 bytes, equal to the library's ids for the whole text.
 
     Byte-level pre-tokens never reach over a single space between two visible characters, so such a text is encoded
-    word by word and each distinct word once. Texts with other white space next to a space, or with a special token's
-    string, are encoded whole.
+    word by word and each distinct word once; new words are put together from parts where they have any. Texts with
+    other white space next to a space, or with a special token's string, are encoded whole. Words are kept in two
+    generations, so that the ones in use outlast a full cache.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -32,30 +56,83 @@ class CachedEncoder:
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
+
+    def _known(self, unit: str) -> bytes | None:
+        # Words are kept without their space; a part without one is kept behind a second space, which no word has.
+        key = unit[1:] if unit[0] == " " else " " + unit
+        return self.recent.get(key) or self.older.get(key)
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """ids of each word behind a space, all of them new or of the older generation."""
+        done, parts, missed = {}, {}, {}
+        for w in words:
+            ids = self.older.get(w)
+            if ids is not None:
+                done[w] = ids
+            elif w[-1] in ".," or "\n" in w:
+                parts[w] = units_of(w)
+            else:
+                missed[" " + w] = None
+        known = {}
+        for unit in {u for units in parts.values() for u in units}:
+            ids = self._known(unit)
+            if ids is None:
+                missed[unit] = None
+            else:
+                known[unit] = ids
+        if missed:
+            missed = dict(zip(missed, self._library(list(missed))))
+            known.update(missed)
+        fresh = {u[1:] if u[0] == " " else " " + u: ids for u, ids in missed.items()}
+        done.update(fresh)
+        done.update((w, b"".join([known[u] for u in units])) for w, units in parts.items())
+        if len(self.recent) + len(done) > CACHE_ENTRIES // 2:
+            self.older, self.recent = self.recent, {}
+        self.recent.update((w, ids) for w, ids in done.items() if len(w) <= CACHE_BYTES)
+        return done
+
+    def _splits(self, text: str, words: list[str]) -> bool:
+        """Every space stands between two visible characters, and no special token's string is there."""
+        if "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
+            return False
+        if OTHER_SPACE.search(text) and any(w[0].isspace() or w[-1].isspace() for w in words):
+            return False
+        return not any(s in text for s in self.specials)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
-        if any(s in text for s in self.specials) or any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+        words = text.split(" ")
+        if not self._splits(text, words):
             return self._library([text])[0]
-        head, tail = parts[0], parts[1:]
-        found = list(map(self.cache.get, tail))
-        if None in found:
-            missed = dict.fromkeys(p for p, ids in zip(tail, found) if ids is None)
-            for part, ids in zip(missed, self._library([" " + p for p in missed])):
-                missed[part] = ids
-            if len(self.cache) + len(missed) > CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache.update((p, ids) for p, ids in missed.items() if len(p) <= CACHE_BYTES)
-            found = [missed[p] if ids is None else ids for p, ids in zip(tail, found)]
-        return b"".join([*self._library([head]), *found])
+        head = words[0]
+        found = list(map(self.recent.get, words))
+        found[0] = self._known(head)
+        if found[0] is None:
+            found[0] = self._library([head])[0]
+            if len(head) < CACHE_BYTES:
+                self.recent[" " + head] = found[0]
+        gaps, at = [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                gaps.append(at)
+        except ValueError:
+            pass
+        if gaps:
+            new = self._encode_words([words[i] for i in gaps])
+            for i in gaps:
+                found[i] = new[words[i]]
+        return b"".join(found)
+
+
+ENCODERS: dict[str, CachedEncoder] = {}  # of a worker process, so that its next task finds the words known
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity: int = CAPACITY, text: str = "text",
@@ -75,10 +152,11 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity
     step, most = 4 * capacity, 4 << 20
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = CachedEncoder(shared.value)
+        if shared.value not in ENCODERS:
+            ENCODERS.clear()
+            ENCODERS[shared.value] = CachedEncoder(shared.value)
+        encoder = ENCODERS[shared.value]
         for batch in batches:
             owner, start, total, ids, size = [], [], [], [], 0
 
