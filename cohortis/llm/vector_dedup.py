@@ -136,7 +136,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
         index, "node long, low long, weight long, v binary, dim int, code binary, factor double, cell int, near double"))
     stats = indexed.groupBy("cell", "dim").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()
     slack = np.arccos(threshold) + 1e-6
-    partners: dict[int, list[tuple[int, int, bool]]] = {r["cell"]: [] for r in stats}
+    partners: dict[int, list[int]] = {r["cell"]: [] for r in stats}
     blocks = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in stats}
     by_dim: dict[int, list] = {}
     for r in stats:
@@ -144,7 +144,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     for dim, cells in by_dim.items():
         if dim not in centres:
             for r in cells:
-                partners[r["cell"]].append((r["cell"], blocks[r["cell"]], True))
+                partners[r["cell"]].append(r["cell"])
             continue
         cosines = np.clip(centres[dim] @ centres[dim].T, -1, 1)
         radius = {r["cell"]: np.arccos(np.clip(r["near"], -1, 1)) for r in cells}
@@ -152,7 +152,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
             for y in radius:
                 apart = np.arccos(cosines[x - first[dim], y - first[dim]]) if x != y else 0.0
                 if apart - radius[x] - radius[y] <= slack:
-                    partners[x].append((y, blocks[y], False))
+                    partners[x].append(y)
     # Small cells share blocks: a block is a slot of cells in their order, or one hash part of a large cell.
     slots, slot_of, used = [], {}, 0
     for r in sorted(stats, key=lambda r: (r["dim"], r["cell"])):
@@ -164,16 +164,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
         used += r["n"]
     reach: dict[int, set[int]] = {}
     for x, others in partners.items():
-        reach.setdefault(slot_of[x], set()).update(slot_of[y] for y, _, _ in others)
+        reach.setdefault(slot_of[x], set()).update(slot_of[y] for y in others)
     base = np.concatenate([[0], np.cumsum([n for _, n in slots])]).tolist()
+    # One row a cell with a range of blocks for each slot in reach: at most ``pivots`` squared ranges in all.
     table = spark.createDataFrame(
-        [(c, base[s], slots[s][1], sorted(b for o in reach[s] for b in range(base[o], base[o + 1])))
-         for c, s in slot_of.items()], "cell int, first int, parts int, others array<int>")
+        [(c, base[s], slots[s][1], [(base[o], base[o + 1] - 1) for o in sorted(reach[s])]) for c, s in slot_of.items()],
+        "cell int, first int, parts int, others array<struct<lo:int,hi:int>>")
+    others = F.flatten(F.transform("others", lambda o: F.sequence(o["lo"], o["hi"])))
     placed = (indexed.join(F.broadcast(table), "cell")
               .withColumn("block", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")))
-    units = placed.select("node", "weight", "v", "code", "factor", "block", F.explode("others").alias("other"))
+    units = placed.select("node", "weight", "v", "code", "factor", "block", F.explode(others).alias("other"))
     units = units.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    n_units = max(1, sum(len(o) for o in reach.values()))
+    n_units = max(1, sum(slots[s][1] * slots[o][1] for s in reach for o in reach[s]))
 
     def compare(key_: tuple, batch: pa.Table) -> pa.Table:
         x, y = (k.as_py() for k in key_)
