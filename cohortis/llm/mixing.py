@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from cohortis.functions.keyed import HASH_BITS, keyed_hash
 from cohortis.llm.common import Scratch, n_words
 
-BUCKET_BITS = 14
+PART_BITS = 10  # of a coarse bucket, and again of the fine buckets in it
 CLASSES_PER_E = 8  # size classes for each factor of e; one document of each may fill what the cut leaves open
 
 
@@ -42,7 +42,7 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
     place = keyed_hash(seed, "mix", F.coalesce(F.col(key).cast("string"), F.lit("null")))
     sized = docs.select(F.col(key).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"),
                         place.alias("place"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
-    rows = scratch.write("rows", sized.withColumn("bucket", F.shiftright("place", HASH_BITS - BUCKET_BITS))
+    rows = scratch.write("rows", sized.withColumn("bucket", F.shiftright("place", HASH_BITS - 2 * PART_BITS))
                          .withColumn("rid", F.monotonically_increasing_id()))
     sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
     # One row a source: their turns need an order over the sources, not over the documents.
@@ -53,12 +53,14 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     filled = (filled.withColumn("whole", F.floor(factor))
               .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    running = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (rows.groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
-               .withColumn("upto", F.sum("in_bucket").over(running)))
-    joined = buckets.alias("b").join(filled.alias("f"), F.expr("b.src <=> f.src"))
-    cut = (joined.filter(F.col("upto") > F.col("rest")).groupBy(F.col("b.src").alias("src"))
-           .agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("in_bucket"), "bucket").alias("base")))
+    # The cut's coarse bucket first, then the fine one in it: each window holds 2**PART_BITS rows a source at most.
+    coarse = F.shiftright("bucket", PART_BITS)
+    wide = _cut(rows.groupBy("src", coarse.alias("part")).agg(F.sum("size").alias("within")),
+                filled.select("src", "rest", F.lit(0).cast("long").alias("base")))
+    wide = scratch.write("wide", wide)
+    inside = rows.alias("r").join(wide.alias("w"), F.expr("r.src <=> w.src") & (coarse == F.col("cut")))
+    cut = _cut(inside.groupBy(F.col("r.src").alias("src"), F.col("bucket").alias("part")).agg(F.sum("size").alias("within")),
+               wide.drop("cut"))
     plan = scratch.write("plan", filled.alias("f").join(cut.alias("k"), F.expr("f.src <=> k.src"), "left")
                          .select("f.*", "k.cut", "k.base"))
     spare = _marked(rows, plan).filter("cut is not null").groupBy("src").agg(
@@ -86,6 +88,19 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
         *[f"`c_{c}`" for c in carry])
 
 
+def _cut(sums: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(src, cut, base, rest): the first part at whose end the running size is over ``rest``, and the size before it.
+
+    ``sums`` holds (src, part, within), ``bounds`` (src, rest, base). Sources that never pass their rest are left out.
+    """
+    running = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("upto", F.sum("within").over(running))
+    joined = sums.alias("s").join(bounds.alias("b"), F.expr("s.src <=> b.src"))
+    upto = F.col("base") + F.col("upto")
+    return joined.filter(upto > F.col("rest")).groupBy(F.col("s.src").alias("src")).agg(
+        F.min("part").alias("cut"), F.min_by(upto - F.col("within"), "part").alias("base"), F.first("rest").alias("rest"))
+
+
 def _marked(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with their source's plan and ``more``: the document lies before the cut of its source.
 
@@ -109,8 +124,8 @@ def mix_plan(docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs
     that does not fit leaves open is filled from the largest down with one document of each size class (about a
     hundred classes, whatever the corpus) where it fits, and at last with the one that comes nearest beyond.
 
-    The running size is taken over hash buckets first, then only over the rows of the one bucket in which the cut
-    falls: no task orders a whole source. Reruns agree, since the order is a keyed hash of the document id.
+    The running size is taken over coarse hash buckets, then over the fine ones of the bucket in which the cut falls,
+    then over the rows of one fine bucket: no task orders a whole source. Reruns agree, since the order is a keyed hash of the document id.
 
     A null or empty text has size 0 and adds nothing. Rows with one id are separate rows at one place of the order,
     the smaller first. An empty table gives an empty plan.
