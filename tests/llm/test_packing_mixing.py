@@ -26,15 +26,19 @@ def test_packs_hold_every_piece_once(histogram):
         assert lows[0] == 0 and (np.diff(lows) > 0).all() and len(lows) == len(firsts) == len(offsets)
 
 
-def test_encoder_equals_the_library(documents):
+@pytest.mark.parametrize("entries", [900_000, 300])
+def test_encoder_equals_the_library(documents, monkeypatch, entries):
     from tokenizers import Tokenizer
 
     path = vocabulary("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
     library = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         encoder = packing.CachedEncoder(f.read())
     texts = [t for _, t, _ in TEXTS if t] + [r["text"] for r in documents.collect()] + [
-        " a", "a ", "a  b", "a \nb", "a\n b", "\n\n a", "it's we'll 12 345 'tis", "a\u3000 b", "<|endoftext|>x", "a\u00a0 b", "  "]
+        " a", "a ", "a  b", "a \nb", "a\n b", "\n\n a", "it's we'll 12 345 'tis", "a\u3000 b", "<|endoftext|>x", "a\u00a0 b", "  ",
+        "a b.c. d.", "x y.\nZ", "x y.\n\nZ w", "a 1.\n2 3,", "a b..", "a 's. t's.", "a é.\né, b", "a ́. b", "a b.\n. c",
+        "q r\r\ns t", "a b\n,c d.\n", "a \u0120b c\tb", ". . .", "a\n\u2028 b c"]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
