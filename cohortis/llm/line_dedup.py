@@ -108,13 +108,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
         raise ValueError("min_words must be 1 or more")
     scratch = Scratch(docs.sparkSession, "lines")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "first_docs")]
+    length = F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     rows = scratch.write("rows", docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept if c != text]).alias("row"), F.col(key).cast("long").alias("id"),
-        F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid")))
-    length = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    heads = rows.filter("text is not null").select(
-        F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), "rid",
-        length.cast("long").alias("n"))
+        F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(F.col(text)).alias("h"),
+        length.cast("long").alias("n")))
+    heads = rows.filter("n is not null").select(
+        F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h", "rid", "n")
     order = ["none", "id", "h", "rid"]
     starts = running_total(scratch, "starts", heads, order, "n", "start").select("rid", "start", "none", "id")
     lines = scratch.write("lines", _lines(rows.filter("text is not null").select("rid", "text"), min_words))
@@ -122,6 +122,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     places = lines.join(scratch.write("repeated", found), ["hi", "lo"]).join(starts.select("rid", "start"), "rid").select(
         (F.col("start") + F.col("line")).alias("pos"), "hi", "lo", "left", "right", "remaining", "rid", "line")
     places = scratch.write("places", places)
+    scratch.drop("lines")
+    scratch.drop("repeated")
     runs = repeated_runs(places.drop("rid", "line"), scratch)
     owner = places.select("pos", "rid", "line")
     source = places.select(F.col("pos").alias("first"), F.col("rid").alias("source"))
