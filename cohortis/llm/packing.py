@@ -22,33 +22,18 @@ CACHE_BYTES = 48  # longest of them
 ROWS_PER_SALT = 1_000_000  # pieces of one length that a task ranks, about
 
 
-def units_of(word: str) -> list[str]:
-    """Parts of `` word`` (the word behind one space) that the tokenizer's pre-tokenizer never joins.
-
-    A newline between visible characters stands alone, and so does a full stop or comma behind a letter or digit at
-    the end of a line. Other words are one part.
-    """
-    lines = word.split("\n")
-    if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-        return [" " + word]
-    units = []
-    for i, line in enumerate(lines):
-        units += ["\n"] if i else []
-        whole = line if i else " " + line
-        units += [whole[:-1], whole[-1]] if line[-1] in ".," and len(line) > 1 and line[-2].isalnum() else [whole]
-    return units
-
-
+OPENING = "\u0120\u010a"  # how byte-level vocabularies write a space and a newline
 OTHER_SPACE = re.compile(r"[^\S \n]")
+SEEN_SLOTS = 1 << 22
 
 
 class CachedEncoder:
     """ids of a text as little-endian uint32 bytes, equal to the library's ids for the whole text.
 
-    Byte-level pre-tokens never reach over a single space between two visible characters, so such a text is encoded
-    word by word and each distinct word once; new words are put together from parts where they have any. Texts with
-    other white space next to a space, or with a special token's string, are encoded whole. Words are kept in two
-    generations, so that the ones in use outlast a full cache.
+    Byte-level pre-tokens never reach over a single space or newline between two visible characters, so such a text is
+    encoded word by word (a word with the space or newline before it); a text's new words go through the library in
+    one call. Texts with other white space next to a space or newline, or with a special token's string, are encoded
+    whole. A word is remembered when it is met again; two generations let the words in use outlast a full cache.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -56,68 +41,63 @@ class CachedEncoder:
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space or newline
+        self.opens[[i for token, i in vocabulary.items() if token[0] in OPENING]] = True
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
 
-    def _known(self, unit: str) -> bytes | None:
-        # Words are kept without their space; a part without one is kept behind a second space, which no word has.
-        key = unit[1:] if unit[0] == " " else " " + unit
-        return self.recent.get(key) or self.older.get(key)
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        """ids of words that have a space before them or start with a newline, cut at the ids that start with either."""
+        units = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.array(self.library.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, np.uint32)
+        starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(starts) != len(units):
+            return self._library(units)
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """ids of each word behind a space, all of them new or of the older generation."""
-        done, parts, missed = {}, {}, {}
-        for w in words:
-            ids = self.older.get(w)
-            if ids is not None:
-                done[w] = ids
-            elif w[-1] in ".," or "\n" in w:
-                parts[w] = units_of(w)
-            else:
-                missed[" " + w] = None
-        known = {}
-        for unit in {u for units in parts.values() for u in units}:
-            ids = self._known(unit)
-            if ids is None:
-                missed[unit] = None
-            else:
-                known[unit] = ids
-        if missed:
-            missed = dict(zip(missed, self._library(list(missed))))
-            known.update(missed)
-        fresh = {u[1:] if u[0] == " " else " " + u: ids for u, ids in missed.items()}
-        done.update(fresh)
-        done.update((w, b"".join([known[u] for u in units])) for w, units in parts.items())
+        """ids of words that the recent generation lacks."""
+        done = {w: self.older.get(w) for w in words}
+        new = [w for w, ids in done.items() if ids is None]
         if len(self.recent) + len(done) > CACHE_ENTRIES // 2:
-            self.older, self.recent = self.recent, {}
-        self.recent.update((w, ids) for w, ids in done.items() if len(w) <= CACHE_BYTES)
+            self.older, self.recent, self.seen = self.recent, {}, bytearray(SEEN_SLOTS)
+        if len(new) < len(done):
+            self.recent.update((w, ids) for w, ids in done.items() if ids is not None)
+        if new:
+            done.update(zip(new, self._new_words(new)))
+            seen, mask = self.seen, SEEN_SLOTS - 1
+            for w in new:
+                slot = hash(w) & mask
+                if seen[slot]:
+                    if len(w) <= CACHE_BYTES:
+                        self.recent[w] = done[w]
+                else:
+                    seen[slot] = 1
         return done
 
-    def _splits(self, text: str, words: list[str]) -> bool:
-        """Every space stands between two visible characters, and no special token's string is there."""
-        if "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
+    def _splits(self, text: str) -> bool:
+        """Every space and newline stands between two visible characters, and no special token's string is there."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace():
             return False
-        if OTHER_SPACE.search(text) and any(w[0].isspace() or w[-1].isspace() for w in words):
+        if OTHER_SPACE.search(text) and any(w[0].isspace() or w[-1].isspace() for w in re.split("[ \n]", text)):
             return False
         return not any(s in text for s in self.specials)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        words = text.split(" ")
-        if not self._splits(text, words):
+        if not self._splits(text):
             return self._library([text])[0]
-        head = words[0]
+        words = text.replace("\n", " \n").split(" ")
         found = list(map(self.recent.get, words))
-        found[0] = self._known(head)
-        if found[0] is None:
-            found[0] = self._library([head])[0]
-            if len(head) < CACHE_BYTES:
-                self.recent[" " + head] = found[0]
+        found[0] = self._library(words[:1])[0]
         gaps, at = [], -1
         try:
             while True:
@@ -178,6 +158,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity
                         yield flush()
                         owner, start, total, ids, size = [], [], [], [], 0
             yield flush()
+        encoder.older = {}  # an idle worker keeps half of the words at most
 
     return source.mapInArrow(scan, schema)
 
