@@ -24,7 +24,6 @@ ROWS_PER_SALT = 1_000_000  # pieces of one length that a task ranks, about
 
 OPENING = "\u0120\u010a"  # how byte-level vocabularies write a space and a newline
 OTHER_SPACE = re.compile(r"[^\S \n]")
-SEEN_SLOTS = 1 << 22
 
 
 class CachedEncoder:
@@ -33,7 +32,7 @@ class CachedEncoder:
     Byte-level pre-tokens never reach over a single space or newline between two visible characters, so such a text is
     encoded word by word (a word with the space or newline before it); a text's new words go through the library in
     one call. Texts with other white space next to a space or newline, or with a special token's string, are encoded
-    whole. A word is remembered when it is met again; two generations let the words in use outlast a full cache.
+    whole. Two generations of words let the ones in use outlast a full cache.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -46,7 +45,6 @@ class CachedEncoder:
         self.opens[[i for token, i in vocabulary.items() if token[0] in OPENING]] = True
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.seen = bytearray(SEEN_SLOTS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -67,19 +65,12 @@ class CachedEncoder:
         done = {w: self.older.get(w) for w in words}
         new = [w for w, ids in done.items() if ids is None]
         if len(self.recent) + len(done) > CACHE_ENTRIES // 2:
-            self.older, self.recent, self.seen = self.recent, {}, bytearray(SEEN_SLOTS)
+            self.older, self.recent = self.recent, {}
         if len(new) < len(done):
             self.recent.update((w, ids) for w, ids in done.items() if ids is not None)
         if new:
             done.update(zip(new, self._new_words(new)))
-            seen, mask = self.seen, SEEN_SLOTS - 1
-            for w in new:
-                slot = hash(w) & mask
-                if seen[slot]:
-                    if len(w) <= CACHE_BYTES:
-                        self.recent[w] = done[w]
-                else:
-                    seen[slot] = 1
+            self.recent.update((w, done[w]) for w in new if len(w) <= CACHE_BYTES)
         return done
 
     def _splits(self, text: str) -> bool:
