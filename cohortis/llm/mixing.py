@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,8 @@ from cohortis.llm.common import Scratch, n_words
 
 PART_BITS = 10  # of a coarse bucket, and again of the fine buckets in it
 CLASSES_PER_E = 8  # size classes for each factor of e; one document of each may fill what the cut leaves open
+PLACE = ("place", "id", "size", "rid")  # the seeded order of a source's documents
+ALL, NONE = 1 << HASH_BITS, -1  # cuts behind and before every bucket
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
@@ -36,7 +38,7 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
 
 
 def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: float, seed: int, text: str, source: str,
-             key: str, carry: list[str]) -> DataFrame:
+             key: str, carry: list[str], whole: bool) -> DataFrame:
     """id, src, size, source_size, target, copies and the ``carry`` columns prefixed by ``c_``, one row a document."""
     scratch = Scratch(docs.sparkSession, "mix")
     place = keyed_hash(seed, "mix", F.coalesce(F.col(key).cast("string"), F.lit("null")))
@@ -53,22 +55,68 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     filled = (filled.withColumn("whole", F.floor(factor))
               .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    pool = rows.select("id", "src", "size", "place", "bucket", "rid")
+    bounds = scratch.write("bounds", filled.select(
+        "src", "rest", F.lit(0).cast("long").alias("least"), F.lit(float("inf")).alias("most")))
+    state, again = None, True
+    while again:
+        done = _round(scratch, pool, bounds)
+        if state is not None:
+            done = state.alias("o").join(done.alias("n"), F.expr("o.src <=> n.src"), "left").select(
+                "o.src", *[F.concat(f"o.{c}", F.coalesce(f"n.{c}", F.array())).alias(c) for c in ("rounds", "picks")],
+                *[F.when(F.col("n.rounds").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
+                  for c in ("left", "over")])
+        state = scratch.write("state", done)
+        if not whole:
+            break
+        # What is left and may still matter: a document that fits, or comes nearest beyond.
+        pool = scratch.write("pool", pool.alias("r").join(state.alias("p"), F.expr("r.src <=> p.src")).filter(
+            ~_taken() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left"))).select("r.*"))
+        fitting = pool.groupBy("src").agg(F.min("size").alias("least"))
+        bounds = scratch.write("bounds", fitting.alias("f").join(state.alias("p"), F.expr("f.src <=> p.src")).filter(
+            "least <= left").select("f.src", F.col("left").alias("rest"), "least", F.col("left").alias("most")))
+        again = not bounds.isEmpty()
+    plan = filled.alias("f").join(state.alias("p"), F.expr("f.src <=> p.src"), "left").select(
+        "f.*", "p.rounds", F.concat("p.picks", "p.over").alias("picks"))
+    full = rows.alias("r").join(scratch.write("plan", plan).alias("p"), F.expr("r.src <=> p.src")).drop(F.col("p.src"))
+    return full.select(
+        "id", "src", "size", "source_size", "target", (F.col("whole") + _taken().cast("long")).alias("copies"),
+        *[f"`c_{c}`" for c in carry])
+
+
+def _round(scratch: Scratch, pool: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(src, rounds, picks, left, over) of one round of the fill, one row for each source of ``bounds``.
+
+    ``pool`` holds the documents that no round has taken, ``bounds`` (src, rest, least, most) what is left of each
+    source's target and the sizes that go in order this time. ``rounds`` holds one entry that ``_taken`` reads, the
+    other arrays row ids: ``picks`` from the size classes, ``over`` the document that comes nearest to ``left`` beyond.
+    """
     # The cut's coarse bucket first, then the fine one in it: each window holds 2**PART_BITS rows a source at most.
     coarse = F.shiftright("bucket", PART_BITS)
-    wide = _cut(rows.groupBy("src", coarse.alias("part")).agg(F.sum("size").alias("within")),
-                filled.select("src", "rest", F.lit(0).cast("long").alias("base")))
-    wide = scratch.write("wide", wide)
-    inside = rows.alias("r").join(wide.alias("w"), F.expr("r.src <=> w.src") & (coarse == F.col("cut")))
-    cut = _cut(inside.groupBy(F.col("r.src").alias("src"), F.col("bucket").alias("part")).agg(F.sum("size").alias("within")),
-               wide.drop("cut"))
-    plan = scratch.write("plan", filled.alias("f").join(cut.alias("k"), F.expr("f.src <=> k.src"), "left")
-                         .select("f.*", "k.cut", "k.base"))
-    spare = _marked(rows, plan).filter("cut is not null").groupBy("src").agg(
-        F.first("rest").alias("rest"), F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("took"))
-    spare = scratch.write("spare", spare.select("src", (F.col("rest") - F.col("took")).alias("spare")))
-    free = _marked(rows, plan).filter("not more and size > 0").select("src", "size", "place", "rid")
-    choice = free.withColumn("class", F.floor(F.log("size") * CLASSES_PER_E)).groupBy("src", "class").agg(
-        F.min(F.struct("place", "rid", "size")).alias("doc"))
+    live = pool.alias("r").join(bounds.alias("b"), F.expr("r.src <=> b.src")).select("r.*", "least", "most")
+    fits = live.filter(F.col("size").between(F.col("least"), F.col("most"))).drop("least", "most")
+    wide = scratch.write("wide", _cut(
+        fits.groupBy("src", coarse.alias("part")).agg(F.sum("size").alias("within")),
+        bounds.select("src", "rest", F.lit(0).cast("long").alias("base"))))
+    inside = fits.alias("r").join(wide.alias("w"), F.expr("r.src <=> w.src") & (coarse == F.col("cut")))
+    cut = scratch.write("cut", _cut(
+        inside.groupBy(F.col("r.src").alias("src"), F.col("bucket").alias("part")).agg(F.sum("size").alias("within")),
+        wide.drop("cut")))
+    edge = fits.alias("r").join(cut.alias("k"), F.expr("r.src <=> k.src and r.bucket = k.cut")).select(
+        "r.*", "base", "rest")
+    order = Window.partitionBy("src").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    last = edge.withColumn("upto", F.col("base") + F.sum("size").over(order)).filter("upto <= rest").groupBy("src").agg(
+        F.max(F.struct(*PLACE)).alias("last"))
+    entry = F.struct("b.least", "b.most", F.when(F.col("b.rest") > 0, F.coalesce("k.cut", F.lit(ALL))).otherwise(
+        NONE).cast("long").alias("cut"), "l.last")
+    ends = scratch.write("ends", bounds.alias("b").join(cut.alias("k"), F.expr("b.src <=> k.src"), "left")
+                         .join(last.alias("l"), F.expr("b.src <=> l.src"), "left")
+                         .select("b.src", "b.rest", F.array(entry).alias("rounds"), F.array().cast("array<long>").alias("picks")))
+    full = pool.alias("r").join(ends.alias("p"), F.expr("r.src <=> p.src")).select("r.*", "rest", _taken().alias("more"))
+    spare = full.groupBy("src").agg(
+        (F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("spare"))
+    choice = full.filter("not more and size > 0").withColumn("class", F.floor(F.log("size") * CLASSES_PER_E)).groupBy(
+        "src", "class").agg(F.min(F.struct("place", "rid", "size")).alias("doc"))
     choices = choice.groupBy("src").agg(F.reverse(F.array_sort(F.collect_list(
         F.struct("doc.size", "doc.place", "doc.rid")))).alias("docs"))
     filled_up = F.aggregate(
@@ -78,14 +126,23 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
     left = F.col("fit.left")
     nearer = F.filter("docs", lambda d: (d["size"] < 2 * left) & ~F.array_contains("fit.rids", d["rid"]))
     over = F.array_min(F.transform(nearer, lambda d: F.struct(F.abs(left - d["size"]), d["place"], d["rid"].alias("rid"))))
-    extra = spare.alias("s").join(choices.alias("c"), F.expr("s.src <=> c.src")).withColumn("fit", filled_up).select(
-        "s.src", F.concat("fit.rids", F.filter(F.array(over["rid"]), lambda r: r.isNotNull())).alias("extra"))
-    plan = scratch.write("final", plan.alias("p").join(extra.alias("e"), F.expr("p.src <=> e.src"), "left")
-                         .select("p.*", "e.extra"))
-    more = F.col("more") | F.coalesce(F.array_contains("extra", F.col("rid")), F.lit(False))
-    return _marked(rows, plan).select(
-        "id", "src", "size", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"),
-        *[f"`c_{c}`" for c in carry])
+    fit = scratch.write("fit", spare.alias("s").join(choices.alias("c"), F.expr("s.src <=> c.src")).withColumn(
+        "fit", filled_up).select("s.src", "fit.left", F.col("fit.rids").alias("picks"),
+                                 F.filter(F.array(over["rid"]), lambda r: r.isNotNull()).alias("over")))
+    return ends.alias("e").join(fit.alias("f"), F.expr("e.src <=> f.src"), "left").select(
+        "e.src", "rounds", F.coalesce("f.picks", "e.picks").alias("picks"),
+        F.coalesce("left", F.lit(0.0)).alias("left"), F.coalesce("over", "e.picks").alias("over"))
+
+
+def _taken() -> Column:
+    """The row's document is among those that the ``rounds`` and ``picks`` of its source take."""
+    def reached(r: Column) -> Column:
+        upto = F.coalesce(F.struct(*PLACE) <= r["last"], F.lit(False))
+        return F.col("size").between(r["least"], r["most"]) & (
+            (F.col("bucket") < r["cut"]) | ((F.col("bucket") == r["cut"]) & upto))
+
+    return F.coalesce(F.exists("rounds", reached), F.lit(False)) | F.coalesce(
+        F.array_contains("picks", F.col("rid")), F.lit(False))
 
 
 def _cut(sums: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -101,42 +158,34 @@ def _cut(sums: DataFrame, bounds: DataFrame) -> DataFrame:
         F.min("part").alias("cut"), F.min_by(upto - F.col("within"), "part").alias("base"), F.first("rest").alias("rest"))
 
 
-def _marked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` with their source's plan and ``more``: the document lies before the cut of its source.
-
-    The running size is taken within the bucket of the cut alone; before it all rows go in, after it none.
-    """
-    full = rows.alias("r").join(plan.alias("p"), F.expr("r.src <=> p.src")).drop(F.col("p.src"))
-    edge = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
-    order = Window.partitionBy("src").orderBy("place", "id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    at_cut = full.filter(edge).withColumn("more", F.col("base") + F.sum("size").over(order) <= F.col("rest"))
-    before = F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))
-    return at_cut.unionByName(full.filter(~edge).withColumn("more", before & (F.col("rest") > 0)))
-
-
 def mix_plan(docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 11,
-             text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+             text: str = "text", source: str = "source", key: str = "doc_id", whole: bool = True) -> DataFrame:
     """Per document: ``key``, ``source``, size (words), source_size, target (of its source) and copies.
 
     Sources in code point order, null last, take ``weights`` in turn. Each document is repeated
     ``floor(target / source_size)`` times; the rest of the target is filled with one more repetition of the documents
     that come first in a seeded order of the source, for as long as their running size fits in it. What the first one
     that does not fit leaves open is filled from the largest down with one document of each size class (about a
-    hundred classes, whatever the corpus) where it fits, and at last with the one that comes nearest beyond.
+    hundred classes, whatever the corpus) where it fits. As long as documents are left that fit in what is still open,
+    both steps are repeated over those alone, so a document larger than the remainder keeps no other out. At last the
+    one that comes nearest beyond is added. A round's state is one row a source. Without ``whole`` the first round is
+    the only one, which is all that the SQL of ``op10_mixing`` states: a long document may then leave most of the
+    remainder open.
 
     The running size is taken over coarse hash buckets, then over the fine ones of the bucket in which the cut falls,
-    then over the rows of one fine bucket: no task orders a whole source. Reruns agree, since the order is a keyed hash of the document id.
+    then over the rows of one fine bucket: no task orders a whole source. Reruns agree, since the order is a keyed hash
+    of the document id.
 
     A null or empty text has size 0 and adds nothing. Rows with one id are separate rows at one place of the order,
     the smaller first. An empty table gives an empty plan.
     """
-    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, [])
+    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, [], whole)
     return planned.withColumnsRenamed({"id": key, "src": source})
 
 
 def mix_documents(docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 11,
-                  text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as ``mix_plan`` says, with all its columns and no others."""
-    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, docs.columns)
+                  text: str = "text", source: str = "source", key: str = "doc_id", whole: bool = True) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as ``mix_plan`` says, with its columns and no others."""
+    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, docs.columns, whole)
     repeated = planned.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return repeated.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])

@@ -155,3 +155,18 @@ def test_mixing_query(spark, documents):
     rows = queries()["op10_mixing"](spark, SF).collect()
     sizes = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in documents.collect()}
     assert {r["doc_id"]: r["size"] for r in rows} == sizes and all(r["taken"] <= 2 * r["size"] for r in rows)
+
+
+def test_a_document_larger_than_the_remainder_stops_nothing(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"{s}-{i}", s, int(n)) for s in "abcdef" for i, n in enumerate([*rng.integers(20, 500, 200), 120_000])]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, n int").selectExpr(
+        "doc_id", "source", "repeat('w ', n) as text").repartition(4)
+    plan = mixing.mix_plan(docs, [1], 0.25, 2.0).collect()
+    sizes, taken, targets = source_totals(plan)
+    assert len(plan) == len(rows) and all(r["copies"] <= 1 for r in plan)
+    assert all(abs(taken[s] - targets[s]) <= 0.001 * targets[s] for s in sizes)
+    words = defaultdict(int)
+    for r in mixing.mix_documents(docs, [1], 0.25, 2.0).selectExpr("source", "(length(text) / 2)::long as n").collect():
+        words[r["source"]] += r["n"]
+    assert dict(words) == taken
