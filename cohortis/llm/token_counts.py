@@ -15,6 +15,7 @@ TABLE_BYTES = 64  # longest pre-token in it: the table stays under 5 MB
 TASK_ENTRIES = 4_096  # frequent pre-tokens that one task reports
 TASK_KEYS = 200_000  # pre-tokens that a task counts at a time
 CACHE_ENTRIES = 200_000  # pre-tokens that a worker remembers
+MARK = "\u2581"  # how the model writes a space
 
 
 def frequent_pretokens(docs: DataFrame, text: str) -> list[str]:
@@ -56,10 +57,11 @@ def count_tokens(docs: DataFrame, model: bytes, text: str = "text", out: str = "
                  keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``out``, the tokens of the whole text under a sentencepiece BPE model (no begin or end tokens).
 
-    Such a model's pieces hold a space mark only at their start, so a text of words with single spaces between them
+    Such a model's pieces hold space marks only at their start, so a text of words with single spaces between them
     is encoded word by word: the count is the sum of the words' counts. Frequent words are looked up in a broadcast
     table of bounded size, others in a bounded cache of the worker, misses are encoded by the library. A text with
-    leading, trailing or double spaces is encoded whole. No pre-token is shuffled; texts stay in their task. ``model``
+    leading, trailing or double spaces, or with the mark's own character, is encoded whole: there pieces of several
+    marks may reach over words. No pre-token is shuffled; texts stay in their task. ``model``
     (the model file's bytes, a file of fixed size) is broadcast.
 
     A null or empty text has 0 tokens. Very long texts are counted whole. A column named ``out`` is replaced; others
@@ -69,7 +71,7 @@ def count_tokens(docs: DataFrame, model: bytes, text: str = "text", out: str = "
 
     spark: SparkSession = docs.sparkSession
     encoder = sentencepiece.SentencePieceProcessor(model_proto=model)
-    if any("▁" in encoder.id_to_piece(i).lstrip("▁") for i in range(encoder.vocab_size())):
+    if any(MARK in encoder.id_to_piece(i).lstrip(MARK) for i in range(encoder.vocab_size())):
         raise ValueError("pieces of this model cross word boundaries; its texts can't be counted word by word")
     words = frequent_pretokens(docs, text)
     lengths = [len(ids) for ids in encoder.encode(words, num_threads=1)] if words else []
@@ -87,7 +89,7 @@ def count_tokens(docs: DataFrame, model: bytes, text: str = "text", out: str = "
             if not value:
                 return 0
             parts = value.split(" ")
-            if "" in parts:
+            if "" in parts or MARK in value:
                 return len(library.encode(value))
             total, missed = 0, []
             for part in parts:

@@ -127,6 +127,18 @@ def test_misses_and_full_caches(spark, documents, monkeypatch):
     assert all(r["n_tokens"] == len(library.encode(r["text"])) for r in got)
 
 
+def test_texts_that_hold_the_space_mark(spark):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        model = f.read()
+    texts = ["a ▁ ▁ b", "load ▁ ▂ ▁ ▁ ▃ end", "name: ▁▁▁ ▁▁▁ date", "x ▁▁ ▁▁ ▁▁ y", "▁", "a▁b c", "plain words"]
+    got = token_counts.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), model, keep=["text"])
+    assert {r["text"]: r["n_tokens"] for r in got.collect()} == {t: len(library.encode(t)) for t in texts}
+
+
 def test_token_count_query(spark):
     got = queries()["op9_token_counts"](spark, SF)
     assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
