@@ -129,8 +129,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Fits on labelled documents, at most about ``sample_rows`` of them, chosen by a hash of their ids.
 
     ``labels`` (key, label 0/1) must hold the rows to learn from only. Null ids and labels are left out; an id with
-    several labels counts once, by their mean. The statistics of the sample (a fixed number of doubles a row) are all
-    that reaches the driver. Without labelled documents every score is one half.
+    several labels counts once, by their mean. Of rows that repeat an id the one with the smallest statistics counts, so
+    one row for each id of the sample (a fixed number of doubles) is all that reaches the driver. Without labelled documents every score is one half.
     """
     clean = (labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id"))
              .agg((F.avg(label) >= 0.5).cast("int").alias("y")))
@@ -145,7 +145,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
             rows = pa.array(list(_arrow_statistics(batch)), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), rows, batch.column(2)], names=["id", "x", "y"])
 
-    rows = sorted(source.mapInArrow(scan, "id long, x array<double>, y int").collect(), key=lambda r: (r["id"], r["x"]))
+    sample = source.mapInArrow(scan, "id long, x array<double>, y int").groupBy("id", "y").agg(F.min("x").alias("x"))
+    rows = sorted(sample.collect(), key=lambda r: r["id"])
     x = np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS))
     return fit_trees(x, np.array([r["y"] for r in rows], np.float64))
 

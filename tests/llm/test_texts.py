@@ -190,6 +190,15 @@ def test_scores_depend_on_text_alone(spark, texts, no_texts, documents):
     assert quality.fit_quality(documents, labels.limit(0)).score(np.zeros((1, 18)))[0] == 0.5
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("if(id < 2900, 7, id) as doc_id", "concat('text ', id) as text").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (2950, 0), (2960, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_trees", lambda x, y: seen.append((x.shape, y.tolist())))
+    quality.fit_quality(docs, labels)
+    assert seen == [((3, len(quality.STATISTICS)), [1, 0, 1])]
+
+
 def test_quality_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
