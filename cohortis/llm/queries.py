@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortis.llm import (
-    line_dedup, mixing, packing, quality, sharding, simhash, sql, token_counts, topk, url_filter, vector_dedup,
+    collocations, exact_dedup, line_dedup, mixing, packing, periodic, quality, sharding, simhash, sql, token_counts, topk,
+    url_filter, vector_dedup,
 )
-from cohortis.llm.common import table
+from cohortis.llm.common import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +136,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = mixing.mix_plan(docs, MIX_WEIGHTS, whole=False)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op11_collocations", sql.COLLOCATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op12_exact_dedup", sql.EXACT_DEDUP)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), the words of a tenth of them, chosen by crc32 of doc_id, made periodic from a place on."""
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.size("__words")
+    start = g % n
+    period = F.lit(1) + F.floor((n - start) / (F.lit(3) + g % 8))
+
+    def source(i: F.Column) -> F.Column:
+        return F.when(i >= F.col("__start"), F.col("__start") + (i - F.col("__start")) % F.col("__period")).otherwise(i)
+
+    # The words of the other documents are an empty array, so their texts are not split here.
+    split = docs.withColumn("__words", F.when(h % 10 == 0, words).otherwise(F.array().cast("array<string>")))
+    placed = split.withColumns({"__start": F.when(n > 0, start), "__period": F.when(n > 0, period)})
+    order = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), source)
+    periodic_text = F.array_join(F.transform(order, lambda i: F.get("__words", i.cast("int"))), " ")
+    return placed.withColumn("text", F.when(n > 0, periodic_text).otherwise(F.col("text"))).select("doc_id", "text")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.collapse_runs(docs)
+    # Runs come by start, then period, so of equal exponents the first is the one asked for.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(
+        r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("__best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("__best.start").alias("start"),
+        F.col("__best.length").alias("length"), F.col("__best.period").alias("period"),
+        F.call_function("div", F.col("__best.length") * 1000, F.col("__best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("collapsed_sha256"))

@@ -166,3 +166,43 @@ SELECT doc_id, size, source_size, target,
   CAST(size * (whole + CASE WHEN more OR extra.pick IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM marked m LEFT JOIN extra ON extra.src IS NOT DISTINCT FROM m.src AND extra.pick = m.place
 """
+
+
+EXACT_DEDUP = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (t)
+"""
+
+COLLOCATIONS = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), grams AS (
+  SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, a, ws, cut, array_to_string(ws[1:cut], ' ') AS p1, array_to_string(ws[cut + 1:k], ' ') AS p2
+  FROM c, (SELECT unnest([1, 2]) AS cut) WHERE cut < k
+), scored AS (
+  SELECT cuts.*, f1.f AS l, f2.f AS r,
+    CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(f1.f AS HUGEINT) * f2.f) AS BIGINT) AS score
+  FROM cuts JOIN f f1 ON f1.lang = cuts.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = cuts.lang AND f2.phrase = p2
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_pairs AS (
+  SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE k = 3
+), kept AS (
+  SELECT * FROM best WHERE NOT EXISTS (
+    SELECT 1 FROM inner_pairs i WHERE i.lang = best.lang AND i.phrase = best.phrase AND 100 * i.longer >= 50 * best.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -138,3 +140,72 @@ def matching_rule(host, path, rules):
 
 def crc(data):
     return None if data is None else zlib.crc32(data)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def collocations(rows, min_count=10, cover=50, top=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)] of [(lang, text)]."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for k in (1, 2, 3):
+                counts[lang].update(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
+        kept = []
+        for p, a in found.items():
+            if len(p) == 2 and any(len(q) == 3 and p in (q[:2], q[1:]) and 100 * b >= cover * a for q, b in found.items()):
+                continue
+            score, _, l, r = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, i, p.decode(), -a, l, r, totals[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(kept)[:top], 1)]
+    return out
+
+
+def exact_groups(rows):
+    """[(id, keep_id, group_size, sha256)] of [(id, text)], in their order."""
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups[lower(text)].append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return [(i, best[t], len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in ((i, lower(t)) for i, t in rows)]
+
+
+def plant(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(words, min_length=24, min_periods=3):
+    """[(start, length, period)] by start, then period: every lag is scanned over all words."""
+    found, (_, x) = {}, np.unique(np.array(words, object).astype(str), return_inverse=True) if words else (None, np.zeros(0))
+    for q in range(1, len(x) // min_periods + 1):
+        same = np.concatenate([[0], x[:-q] == x[q:], [0]]).astype(np.int8)
+        starts, ends = np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if b + q - a >= max(min_length, min_periods * q):
+                found.setdefault((a, b + q - a), q)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def run_digests(doc_id, text):
+    """The row of op13_periodic_runs."""
+    words = plant(doc_id, re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    runs = periodic_runs(words)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            sha("".join("%d,%d,%d\n" % r for r in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
