@@ -65,6 +65,7 @@ class TrieNode:
     def _burst(self, i: int) -> None:
         todo = [(self.lows[i], self.children[i])]
         done: list[tuple[int, dict[int, int] | TrieNode]] = []
+        end = self.lows[i + 1] if i + 1 < len(self.lows) else ID_MASK + 1
         while todo:
             low, held = todo.pop()
             if len(held) <= BURST:
@@ -76,9 +77,11 @@ class TrieNode:
             if middle == words[0]:
                 middle = words[-1] if words[-1] == words[0] else words[words > middle][0]
             if middle == words[0]:
+                # A node is for one word; the other words of the range keep containers of their own.
+                word, after = int(middle), todo[-1][0] if todo else end
                 node = TrieNode(self.shift - ID_BITS, held)
                 node._burst(0)
-                done.append((low, node))
+                done += [(low, {})] * (low < word) + [(word, node)] + [(word + 1, {})] * (word + 1 < after)
                 continue
             cut = int(np.searchsorted(words, middle))
             lower, upper = ({k: held[k] for k in part.tolist()} for part in (keys[:cut], keys[cut:]))
@@ -183,9 +186,9 @@ class PhraseCounter:
                 run = []
         if run:
             yield self._run(run, ranks, words, langs)
-        left = [(low, child) for i, (low, child) in enumerate(zip(self.root.lows, self.root.children)) if i not in out]
-        self.root.lows = [0, *[low for low, _ in left[1:]]] if left else [0]
-        self.root.children = [child for _, child in left] or [{}]
+        lows, children = self.root.lows, [{} if i in out else child for i, child in enumerate(self.root.children)]
+        left = [i for i in range(len(children)) if i == 0 or children[i] or children[i - 1]]
+        self.root.lows, self.root.children = [lows[i] for i in left], [children[i] for i in left]
 
     def _run(self, phrases: list[tuple[int, int]], ranks: np.ndarray, words: pa.Array, langs: pa.Array) -> pa.RecordBatch:
         keys, counts = np.array(phrases, np.int64).T

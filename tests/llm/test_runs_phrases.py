@@ -41,14 +41,15 @@ def test_collocations_equal_brute_force(spark, monkeypatch, seed, lean, burst):
 
 def test_trie_spills_and_bursts_keep_counts():
     rng = np.random.default_rng(5)
-    counter = collocations.PhraseCounter(3, None, lean=500)
+    counter = collocations.PhraseCounter(3, None, lean=3000)
     blob = b" ".join(b"." if w == 0 else b"w%d" % w for w in rng.zipf(1.3, 30_000) % 60)
-    runs, old = [], collocations.BURST
+    runs, nodes, old = [], 0, collocations.BURST
     collocations.BURST = 16
     try:
         for part in collocations.slices(blob, 3, 5_000):
             runs += counter.add(b"en", part)
-        assert any(isinstance(c, collocations.TrieNode) for c in counter.root.children) and len(runs) > 3
+            nodes += sum(isinstance(c, collocations.TrieNode) for c in counter.root.children)
+        assert nodes and len(runs) > 3
         runs += counter.spill(0)
     finally:
         collocations.BURST = old
@@ -179,7 +180,7 @@ def test_runs_equal_brute_force(min_length, min_periods):
 
 def test_segments_hold_frequent_words_only():
     ids = np.array([9] + [0, 1] * 14 + [8] + [2] * 23 + [9, 9] + [0] * 30)
-    assert periodic.segments(ids) == [(1, 29), (55, 85)] or periodic.segments(ids) == [(1, 29), (53, 85)]
+    assert periodic.segments(ids) == [(1, 29), (55, 85)]
     assert periodic.segments(np.arange(100)) == [] and periodic.segments(np.array([], np.int64)) == []
 
 
