@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,9 @@ from cohortis.llm.common import Scratch
 ID_BITS = 21  # of a word's number within a task; three fit in a key
 ID_MASK = (1 << ID_BITS) - 1
 BURST = 4096  # phrases of a hash container, at most
-MAX_PHRASES = 1_000_000  # of a task's trie; half of them are spilled beyond
-SLICE = 3 << 20  # bytes of text that a task splits into words at a time
+MAX_PHRASES = 750_000  # of a task's trie; half of them are spilled beyond
+RUN_PHRASES = 1 << 16  # of a run, about
+SLICE = 2 << 20  # bytes of text that a task splits into words at a time
 SIEVE_BITS = 1 << 27  # of a sieve: 16 MB, whatever the corpus
 CRC_STEP = 1_000_003
 PREFIX_PARTS = 16  # parts of the phrases that begin with one word
@@ -33,8 +36,8 @@ class TrieNode:
     """A trie node over the word whose number lies at bit ``shift`` of the keys below it.
 
     Each child is a hash container, a dict from keys to counts for a range of words, or a node over the next word. A
-    container that grows over BURST is split at its middle word, or, if all its phrases share the word, bursts into a
-    node one level down. The depth is that of a phrase at most.
+    container that grows over BURST bursts into smaller ranges, and a word that has as many phrases alone into a node
+    one level down. The depth is that of a phrase at most.
     """
 
     __slots__ = ("shift", "lows", "children")
@@ -63,43 +66,65 @@ class TrieNode:
                 self._burst(i)
 
     def _burst(self, i: int) -> None:
-        todo = [(self.lows[i], self.children[i])]
-        done: list[tuple[int, dict[int, int] | TrieNode]] = []
-        end = self.lows[i + 1] if i + 1 < len(self.lows) else ID_MASK + 1
-        while todo:
-            low, held = todo.pop()
-            if len(held) <= BURST:
-                done.append((low, held))
+        held = self.children[i]
+        keys = np.sort(np.fromiter(held, np.int64, len(held)))
+        counts = np.fromiter(map(held.__getitem__, keys.tolist()), np.int64, len(keys))
+        words, firsts = np.unique(keys >> self.shift & ID_MASK, return_index=True)
+        sizes = np.diff(np.append(firsts, len(keys)))
+        share, large = firsts // (BURST // 2 or 1), sizes > BURST
+        opens = np.append(True, (share[1:] != share[:-1]) | large[1:] | large[:-1])
+        cuts = [*firsts[opens].tolist(), len(keys)]
+        lows: list[int] = []
+        children: list[dict[int, int] | TrieNode] = []
+        low, after = self.lows[i], self.lows[i + 1] if i + 1 < len(self.lows) else ID_MASK + 1
+        for word, alone, a, b in zip(words[opens].tolist(), large[opens].tolist(), cuts, cuts[1:]):
+            part = dict(zip(keys[a:b].tolist(), counts[a:b].tolist()))
+            if not alone:
+                lows.append(word if low is None else low)
+                children.append(part)
+                low = None
                 continue
-            keys = np.sort(np.fromiter(held, np.int64, len(held)))
-            words = keys >> self.shift & ID_MASK
-            middle = words[len(words) // 2]
-            if middle == words[0]:
-                middle = words[-1] if words[-1] == words[0] else words[words > middle][0]
-            if middle == words[0]:
-                # A node is for one word; the other words of the range keep containers of their own.
-                word, after = int(middle), todo[-1][0] if todo else end
-                node = TrieNode(self.shift - ID_BITS, held)
-                node._burst(0)
-                done += [(low, {})] * (low < word) + [(word, node)] + [(word + 1, {})] * (word + 1 < after)
-                continue
-            cut = int(np.searchsorted(words, middle))
-            lower, upper = ({k: held[k] for k in part.tolist()} for part in (keys[:cut], keys[cut:]))
-            todo += [(int(middle), upper), (low, lower)]
-        self.lows[i:i + 1] = [low for low, _ in done]
-        self.children[i:i + 1] = [child for _, child in done]
+            # A node is for one word; the other words of the range keep containers of their own.
+            if low is not None and low < word:
+                lows.append(low)
+                children.append({})
+            node = TrieNode(self.shift - ID_BITS, part)
+            node._burst(0)
+            lows.append(word)
+            children.append(node)
+            low = word + 1
+        if low is not None and low < after:
+            lows.append(low)
+            children.append({})
+        self.lows[i:i + 1] = lows
+        self.children[i:i + 1] = children
 
 
 def size_of(child: dict[int, int] | TrieNode) -> int:
     return sum(map(size_of, child.children)) if isinstance(child, TrieNode) else len(child)
 
 
-def phrases_of(child: dict[int, int] | TrieNode) -> Iterator[tuple[int, int]]:
+def containers_of(child: dict[int, int] | TrieNode) -> Iterator[dict[int, int]]:
     if isinstance(child, TrieNode):
         for below in child.children:
-            yield from phrases_of(below)
+            yield from containers_of(below)
     else:
-        yield from child.items()
+        yield child
+
+
+class Numbers(dict):
+    """Numbers of the words of one language, given out at first sight; 0 is a break."""
+
+    def __init__(self, lang: bytes, counter: PhraseCounter):
+        super().__init__({b".": 0})
+        self.counter, self.lang, self.crc = counter, lang, zlib.crc32(lang + b"\t")
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.counter.words)
+        self.counter.words.append(word)
+        self.counter.langs.append(self.lang)
+        self.counter.crcs.append(zlib.crc32(word, self.crc))
+        return n
 
 
 class PhraseCounter:
@@ -111,31 +136,11 @@ class PhraseCounter:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}  # of language, tab and word; 0 is a break
-        self.words, self.langs = [b""], [b""]
-        self.crcs = np.zeros(1 << 12, np.int64)
+        self.numbers: dict[bytes, Numbers] = {}
+        self.words, self.langs, self.crcs = [b""], [b""], array("q", [0])
         self.root = TrieNode(self.top, {})
         self.held = 0
 
-    def _number(self, lang: bytes, tokens: list[bytes]) -> np.ndarray:
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
-        ids = []
-        for word in coded.dictionary.to_pylist():
-            if word == b".":
-                ids.append(0)
-                continue
-            name = lang + b"\t" + word
-            n = self.numbers.get(name)
-            if n is None:
-                n = self.numbers[name] = len(self.words)
-                self.words.append(word)
-                self.langs.append(lang)
-                if n == len(self.crcs):
-                    self.crcs = np.concatenate([self.crcs, np.zeros(n, np.int64)])
-                self.crcs[n] = zlib.crc32(name)
-            ids.append(n)
-        return np.array(ids, np.int64)[coded.indices.to_numpy()]
-
     def _passes(self, crcs: np.ndarray) -> np.ndarray:
         slot = (crcs ^ crcs >> 26) & (8 * len(self.sieve) - 1)
         return self.sieve[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
@@ -148,7 +153,10 @@ class PhraseCounter:
         if len(self.words) + len(tokens) > ID_MASK and len(self.words) > 1:
             yield from self.spill(0)
             self._clear()
-        ids = self._number(lang, tokens)
+        if lang not in self.numbers:
+            self.numbers[lang] = Numbers(lang, self)
+        ids = np.fromiter(map(self.numbers[lang].__getitem__, tokens), np.int64, len(tokens))
+        crcs = np.array(self.crcs)
         heads = ids[:max(0, len(ids) - self.width + 1)]
         keys, good = heads.copy(), heads > 0
         for i in range(1, self.width):
@@ -157,9 +165,9 @@ class PhraseCounter:
             good &= after > 0
         if self.sieve is not None:
             if self.width == 2:
-                fits = self._passes(self.crcs[ids])
+                fits = self._passes(crcs[ids])
             else:
-                fits = self._passes(self.crcs[ids[:-1]] * CRC_STEP + self.crcs[ids[1:]])
+                fits = self._passes(crcs[ids[:-1]] * CRC_STEP + crcs[ids[1:]])
             good &= fits[:len(heads)] & fits[1:len(heads) + 1]
         keys, counts = np.unique(keys[good], return_counts=True)
         self.root.add(keys, counts)
@@ -169,33 +177,38 @@ class PhraseCounter:
 
     def spill(self, upto: int) -> Iterator[pa.RecordBatch]:
         """Takes the largest subtrees out until ``upto`` phrases are left; each is a sorted run."""
-        ranks = np.empty(len(self.words), np.int64)
-        in_order = sorted(range(len(self.words)), key=lambda i: (self.langs[i], self.words[i]))
-        ranks[in_order] = np.arange(len(self.words))
         words, langs = pa.array(self.words, pa.binary()), pa.array(self.langs, pa.binary())
-        order = sorted(range(len(self.root.children)), key=lambda i: -size_of(self.root.children[i]))
-        out, run = set(), []
-        for i in order:
+        in_order = pc.sort_indices(pa.table([langs, words], ["lang", "word"]), [("lang", "ascending"), ("word", "ascending")])
+        ranks = np.empty(len(words), np.int64)
+        ranks[in_order.to_numpy()] = np.arange(len(words))
+        crcs = np.array(self.crcs)
+        out, run, n = set(), [], 0
+        for i in sorted(range(len(self.root.children)), key=lambda i: -size_of(self.root.children[i])):
             if self.held <= upto:
                 break
             self.held -= size_of(self.root.children[i])
             out.add(i)
-            run.extend(phrases_of(self.root.children[i]))
-            if len(run) >= 1 << 16:
-                yield self._run(run, ranks, words, langs)
-                run = []
-        if run:
-            yield self._run(run, ranks, words, langs)
+            for held in containers_of(self.root.children[i]):
+                run.append(held)
+                n += len(held)
+                if n >= RUN_PHRASES:
+                    yield self._run(run, ranks, words, langs, crcs)
+                    run, n = [], 0
+        if n:
+            yield self._run(run, ranks, words, langs, crcs)
         lows, children = self.root.lows, [{} if i in out else child for i, child in enumerate(self.root.children)]
         left = [i for i in range(len(children)) if i == 0 or children[i] or children[i - 1]]
         self.root.lows, self.root.children = [lows[i] for i in left], [children[i] for i in left]
 
-    def _run(self, phrases: list[tuple[int, int]], ranks: np.ndarray, words: pa.Array, langs: pa.Array) -> pa.RecordBatch:
-        keys, counts = np.array(phrases, np.int64).T
+    def _run(self, held: list[dict[int, int]], ranks: np.ndarray, words: pa.Array, langs: pa.Array,
+             crcs: np.ndarray) -> pa.RecordBatch:
+        n = sum(map(len, held))
+        keys = np.fromiter(chain.from_iterable(held), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(d.values() for d in held), np.int64, n)
         ids = [keys >> (self.top - ID_BITS * i) & ID_MASK for i in range(self.width)]
         order = np.lexsort([ranks[c] for c in reversed(ids)])
         ids = [c[order] for c in ids]
-        prefix = self.crcs[ids[0]] * PREFIX_PARTS + (self.crcs[ids[1]] % PREFIX_PARTS if self.width > 1 else 0)
+        prefix = crcs[ids[0]] * PREFIX_PARTS + (crcs[ids[1]] % PREFIX_PARTS if self.width > 1 else 0)
         parts = [words.take(pa.array(c)) for c in ids]
         joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
         # Texts are cut at ASCII bytes only, so words are as valid as the texts are.
