@@ -26,6 +26,7 @@ SLICE = 2 << 20  # bytes of text that a task splits into words at a time
 SIEVE_BITS = 1 << 27  # of a sieve: 16 MB, whatever the corpus
 CRC_STEP = 1_000_003
 PREFIX_PARTS = 16  # parts of the phrases that begin with one word
+RANK_PARTS = 64  # of a language's candidates, each ranked on its own first
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 NO_LANG = "und"
 
@@ -336,8 +337,13 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, cover
         longest = longer.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
         scored = scored.join(longest, ["lang", "phrase"], "left").filter(
             F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * cover))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order))
+    best_first = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # The best of each of a language's parts first, so that its ranks are given to a bounded number of rows.
+    parted = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn(
+        "part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    in_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best_first))
+    front = parted.withColumn("place", in_part).filter(F.col("place") <= top)
+    ranked = front.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)))
     return ranked.filter(F.col("rank") <= top).join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
