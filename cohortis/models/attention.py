@@ -1,78 +1,118 @@
-"""The attention classifier: scoring inside Arrow batches, and data-parallel training.
+"""The attention classifier: the attention block as a pipeline stage before Spark's multilayer perceptron.
 
     theta, phi, g   scalar affine maps of each feature
     A_ij            softmax over j of theta_i * phi_j
-    z               BN1(w * (A g) + v) + x
-    score           sigmoid(fc(dropout(relu(BN(fc1(z))))))
+    z               w * (A g) + v + x
+    score           perceptron(standardised z)
 
-Training is parameter averaging: rows are hashed into shards of bounded size;
-each shard runs mini-batch SGD from the current parameters inside one task, and
-the epoch ends with the row-weighted mean of the shard parameters. With one
-shard this is plain sequential SGD. Only parameter vectors reach the driver.
+The stage has no state but the numbers of its maps, so a fitted pipeline can be saved and read again. The maps are
+drawn from a seed; of several draws the one with the best validation AUC is kept. Scoring runs in Arrow batches, the
+perceptron is trained by Spark over all partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortis.functions.dense import TILE, softmax_maps, stack, vector_function
-from cohortis.functions.keyed import keyed_hash
+from cohortis.functions.dense import TILE, softmax_maps, vector_function
+from cohortis.models.classifiers import positive_score
 from cohortis.operators.evaluate import auc_rank
-from cohortis.operators.interact import BN_EPS, Projections
+from cohortis.operators.interact import BN_EPS, Projections, attention_output
 
-MOMENTUM = 0.1
+MAPS = ("theta", "phi", "g", "out")
 
 
-def _shapes(d: int, hidden: int) -> dict[str, tuple[int, ...]]:
-    """Names and shapes of the flat parameter vector; the last four are running statistics."""
-    return {
-        "theta": (2,), "phi": (2,), "g": (2,), "out": (2,), "bn1": (2,),
-        "w1": (hidden, d), "b1": (hidden,), "bn": (2, hidden), "w2": (hidden,), "b2": (1,),
-        "mean1": (1,), "var1": (1,), "mean": (hidden,), "var": (hidden,),
-    }
+class AttentionOutput(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the attention block's output, a vector, for the vector in ``inputCol``."""
 
+    theta = Param(Params._dummy(), "theta", "slope and offset of theta", TypeConverters.toListFloat)
+    phi = Param(Params._dummy(), "phi", "slope and offset of phi", TypeConverters.toListFloat)
+    g = Param(Params._dummy(), "g", "slope and offset of g", TypeConverters.toListFloat)
+    out = Param(Params._dummy(), "out", "slope and offset of the output map", TypeConverters.toListFloat)
+    subSample = Param(Params._dummy(), "subSample", "halve phi and g by max pooling", TypeConverters.toBoolean)
 
-RUNNING = ("mean1", "var1", "mean", "var")
+    def __init__(self, inputCol: str = "features", outputCol: str = "attended", projections: Projections = Projections(),
+                 subSample: bool = False):
+        super().__init__()
+        self._setDefault(subSample=False, **{n: [1.0, 0.0] for n in MAPS})
+        self._set(inputCol=inputCol, outputCol=outputCol, subSample=subSample,
+                  **{n: list(map(float, getattr(projections, n))) for n in MAPS})
 
+    @property
+    def projections(self) -> Projections:
+        """The maps, for ``mean_attention_table``."""
+        return Projections(*[tuple(self.getOrDefault(n)) for n in MAPS])
 
-def pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.ravel(v) for v in p.values()])
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        x = vector_to_array(F.col(self.getInputCol()))
+        z = attention_output(x, self.projections, self.getOrDefault(self.subSample))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(z))
 
 
-def unpack(flat: np.ndarray, d: int, hidden: int) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in _shapes(d, hidden).items():
-        size = int(np.prod(shape))
-        out[name] = np.array(flat[at:at + size], dtype=float).reshape(shape)
-        at += size
-    return out
+def drawn_projections(seed: int) -> Projections:
+    """Slopes and offsets of the four maps, uniform as Glorot's rule has it for one input and output."""
+    limit = np.sqrt(6.0 / 2.0)
+    return Projections(*[tuple(p) for p in np.random.default_rng(seed).uniform(-limit, limit, (4, 2)).tolist()])
 
 
-def initial(d: int, hidden: int, seed: int) -> dict[str, np.ndarray]:
-    """Uniform Glorot weights, biases 0.01, unit batch norms."""
-    rng = np.random.default_rng(seed)
+def attention_pipeline(
+    n_features: int, projections: Projections, hidden: int = 300, iterations: int = 40, features: str = "features",
+    label: str = "label", seed: int = 42, sub_sample: bool = False,
+) -> Pipeline:
+    """Attention block, standardisation and perceptron as one unfitted pipeline."""
+    return Pipeline(stages=[
+        AttentionOutput(features, "attended", projections, sub_sample),
+        StandardScaler(inputCol="attended", outputCol="normed", withMean=True, withStd=True),
+        MultilayerPerceptronClassifier(featuresCol="normed", labelCol=label, layers=[n_features, hidden, 2],
+                                       maxIter=iterations, blockSize=64, seed=seed),
+    ])
 
-    def glorot(shape, fan):
-        lim = np.sqrt(6.0 / fan)
-        return rng.uniform(-lim, lim, shape)
 
-    p = {k: np.zeros(s) for k, s in _shapes(d, hidden).items()}
-    for name in ("theta", "phi", "g", "out"):
-        p[name] = glorot((2,), 2)
-    p["bn1"], p["bn"] = np.array([1.0, 0.0]), np.stack([np.ones(hidden), np.zeros(hidden)])
-    p["w1"], p["w2"] = glorot((hidden, d), d + hidden), glorot((hidden,), hidden + 1)
-    p["b1"], p["b2"] = np.full(hidden, 0.01), np.array([0.01])
-    p["var1"], p["var"] = np.ones(1), np.ones(hidden)
-    return p
+@dataclass(frozen=True)
+class AttentionClassifier:
+    """Settings of a fit. Defaults follow the study: 300 hidden units, 40 rounds."""
+
+    features: str = "features"
+    label: str = "label"
+    hidden: int = 300
+    iterations: int = 40
+    draws: Sequence[int] = (42, 43, 44)
+    sub_sample: bool = False
+
+    def fit(self, df: DataFrame, validation: DataFrame) -> tuple[PipelineModel, list[dict]]:
+        """The pipeline of the draw with the best AUC on ``validation`` (the first, on a tie), and every draw's AUC."""
+        n = df.select(F.size(vector_to_array(F.col(self.features))).alias("n")).first()["n"]
+        train, seen = df.persist(), validation.persist()
+        best, best_auc, history = None, float("-inf"), []
+        for seed in self.draws:
+            pipeline = attention_pipeline(n, drawn_projections(seed), self.hidden, self.iterations, self.features,
+                                          self.label, seed, self.sub_sample)
+            model = pipeline.fit(train)
+            scored = positive_score(model, seen).select(
+                F.lit("v").alias("model"), F.col(self.label).alias("label"), "score")
+            auc = auc_rank(scored, ["model"]).first()["auc"]
+            history.append({"seed": seed, "auc": auc})
+            if best is None or (auc is not None and auc > best_auc):
+                best, best_auc = model, float("-inf") if auc is None else auc
+        train.unpersist()
+        seen.unpersist()
+        return best, history
 
 
 def score_batch(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Evaluation mode: stored statistics, no dropout."""
+    """The network in evaluation mode: stored statistics, no dropout."""
     out = np.empty(len(x))
     for i in range(0, len(x), TILE):
         t = x[i:i + TILE]
@@ -85,153 +125,26 @@ def score_batch(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def loss_and_gradient(p, x, y, rng=None, attention_dropout=0.0, dropout=0.0):
-    """Mean cross-entropy of one batch, its gradient, and the batch statistics."""
-    n, d = x.shape
-    theta, phi, g = (x * p[k][0] + p[k][1] for k in ("theta", "phi", "g"))
-    a = softmax_maps(theta, phi)
-    keep_a = 1.0 if not attention_dropout else (rng.random(a.shape) >= attention_dropout) / (1 - attention_dropout)
-    ad = a * keep_a
-    yv = np.einsum("bij,bj->bi", ad, g)
-    u = p["out"][0] * yv + p["out"][1]
-    m1, v1 = u.mean(), u.var()
-    s1 = np.sqrt(v1 + BN_EPS)
-    uh = (u - m1) / s1
-    z = uh * p["bn1"][0] + p["bn1"][1] + x
-    h = z @ p["w1"].T + p["b1"]
-    m, v = h.mean(0), h.var(0)
-    s = np.sqrt(v + BN_EPS)
-    hh = (h - m) / s
-    r = np.maximum(hh * p["bn"][0] + p["bn"][1], 0)
-    keep = 1.0 if not dropout else (rng.random(r.shape) >= dropout) / (1 - dropout)
-    rd = r * keep
-    logit = rd @ p["w2"] + p["b2"][0]
-    prob = 1.0 / (1.0 + np.exp(-logit))
-    with np.errstate(divide="ignore"):
-        loss = -np.mean(y * np.maximum(np.log(prob), -100) + (1 - y) * np.maximum(np.log1p(-prob), -100))
-
-    gr = {}
-    dl = (prob - y) / n
-    gr["w2"], gr["b2"] = rd.T @ dl, np.array([dl.sum()])
-    dr = dl[:, None] * p["w2"] * keep * (r > 0)
-    gr["bn"] = np.stack([(dr * hh).sum(0), dr.sum(0)])
-    dhh = dr * p["bn"][0]
-    dh = (dhh - dhh.mean(0) - hh * (dhh * hh).mean(0)) / s
-    gr["w1"], gr["b1"] = dh.T @ z, dh.sum(0)
-    dz = dh @ p["w1"]
-    gr["bn1"] = np.array([(dz * uh).sum(), dz.sum()])
-    duh = dz * p["bn1"][0]
-    du = (duh - duh.mean() - uh * (duh * uh).mean()) / s1
-    gr["out"] = np.array([(du * yv).sum(), du.sum()])
-    dy = du * p["out"][0]
-    dg = np.einsum("bij,bi->bj", ad, dy)
-    da = dy[:, :, None] * g[:, None, :] * keep_a
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dtheta, dphi = np.einsum("bij,bj->bi", ds, phi), np.einsum("bij,bi->bj", ds, theta)
-    for name, grad in (("theta", dtheta), ("phi", dphi), ("g", dg)):
-        gr[name] = np.array([(grad * x).sum(), grad.sum()])
-    unbias = n / max(n - 1, 1)
-    stats = {"mean1": np.array([m1]), "var1": np.array([v1 * n * d / max(n * d - 1, 1)]), "mean": m, "var": v * unbias}
-    return loss, gr, stats
-
-
 @dataclass
 class AttentionNetwork:
-    """Fitted (or given) parameters."""
+    """A network whose parameters are given, for scoring in batches."""
 
-    params: dict[str, np.ndarray]
-    history: list[dict] = field(default_factory=list)
+    params: dict[str, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def from_parts(p: Projections, w1, b1, w2, b2, mean, var) -> "AttentionNetwork":
-        hidden, d = np.shape(w1)
-        params = initial(d, hidden, 0)
-        params.update(theta=np.array(p.theta), phi=np.array(p.phi), g=np.array(p.g), out=np.array(p.out),
-                      w1=np.array(w1, float), b1=np.array(b1, float), w2=np.array(w2, float), b2=np.array([b2], float),
-                      mean=np.array(mean, float), var=np.array(var, float))
-        return AttentionNetwork(params)
+        hidden = len(np.asarray(w1))
+        given = {"theta": p.theta, "phi": p.phi, "g": p.g, "out": p.out, "w1": w1, "b1": b1, "w2": w2, "b2": [b2],
+                 "mean": mean, "var": var, "mean1": [0.0], "var1": [1.0], "bn1": [1.0, 0.0],
+                 "bn": [np.ones(hidden), np.zeros(hidden)]}
+        return AttentionNetwork({name: np.array(values, float) for name, values in given.items()})
 
     @property
     def projections(self) -> Projections:
         """The scalar maps, for ``mean_attention_table``."""
-        return Projections(*[tuple(map(float, self.params[n])) for n in ("theta", "phi", "g", "out")])
+        return Projections(*[tuple(map(float, self.params[n])) for n in MAPS])
 
     def score(self, df: DataFrame, features: str = "x", out: str = "score") -> DataFrame:
         params = self.params
         run = vector_function(lambda x: score_batch(params, x), "double")
         return df.withColumn(out, run(F.col(features)))
-
-
-@dataclass(frozen=True)
-class AttentionClassifier:
-    """Settings of a fit. Defaults follow the study: SGD 0.1, decay 0.01, batch 64, 40 epochs."""
-
-    features: str = "x"
-    label: str = "label"
-    key: str = "id"
-    hidden: int = 300
-    epochs: int = 40
-    batch: int = 64
-    rate: float = 0.1
-    decay: float = 0.01
-    dropout: float = 0.1
-    attention_dropout: float = 0.03
-    shard_rows: int = 50_000
-    seed: int = 42
-
-    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> AttentionNetwork:
-        """Fit; with ``validation`` the epoch with the best AUC there wins (the first, on a tie)."""
-        rows = df.select(
-            F.col(self.key).alias("k"), F.col(self.features).cast("array<double>").alias("x"),
-            F.col(self.label).cast("double").alias("y"),
-        )
-        n = rows.count()
-        d = len(rows.first()["x"])
-        n_shards = max(1, -(-n // self.shard_rows))
-        sharded = rows.withColumn("shard", F.pmod(keyed_hash(self.seed, "shard", "k"), F.lit(n_shards)).cast("int"))
-        sharded = sharded.repartition("shard").persist()
-        flat = pack(initial(d, self.hidden, self.seed))
-        best, best_auc, history = flat, None, []
-        for epoch in range(self.epochs):
-            flat, loss = self._epoch(sharded, flat, d, epoch)
-            entry = {"epoch": epoch, "train_loss": loss}
-            if validation is not None:
-                scored = AttentionNetwork(unpack(flat, d, self.hidden)).score(validation, self.features)
-                entry["auc"] = auc_rank(scored.withColumn("label", F.col(self.label)).select(
-                    F.lit("v").alias("model"), "label", "score"), ["model"]).first()["auc"]
-                if entry["auc"] is not None and (best_auc is None or entry["auc"] > best_auc):
-                    best, best_auc = flat, entry["auc"]
-            history.append(entry)
-        sharded.unpersist()
-        return AttentionNetwork(unpack(best if best_auc is not None else flat, d, self.hidden), history)
-
-    def _epoch(self, sharded: DataFrame, flat: np.ndarray, d: int, epoch: int) -> tuple[np.ndarray, float]:
-        cfg = self
-
-        def train(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("k")
-            x, y, shard = stack(pdf["x"]), pdf["y"].to_numpy(), int(pdf["shard"].iloc[0])
-            rng = np.random.default_rng([cfg.seed, epoch, shard])
-            order, p, losses = rng.permutation(len(x)), unpack(flat, d, cfg.hidden), []
-            for i in range(0, len(order), cfg.batch):
-                pick = order[i:i + cfg.batch]
-                if len(pick) < 2 <= len(x):
-                    pick = order[i - 1:i + 1]  # a single row has no batch variance
-                loss, gr, stats = loss_and_gradient(p, x[pick], y[pick], rng, cfg.attention_dropout, cfg.dropout)
-                losses.append(loss)
-                for name, grad in gr.items():
-                    p[name] = p[name] - cfg.rate * (grad + cfg.decay * p[name])
-                for name in RUNNING:
-                    p[name] = (1 - MOMENTUM) * p[name] + MOMENTUM * stats[name]
-            return pd.DataFrame({"n": [len(x)], "loss": [float(np.mean(losses))], "params": [pack(p)]})
-
-        shards = sharded.groupBy("shard").applyInPandas(train, "n bigint, loss double, params array<double>")
-        # the weighted mean is an aggregate by parameter index: no task sees all shards' vectors
-        means = (
-            shards.select("n", F.posexplode(F.concat(F.col("params"), F.array("loss"))).alias("i", "v"))
-            .groupBy("i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v"))
-        )
-        values = np.empty(len(flat) + 1)
-        for row in means.collect():  # one number per parameter
-            values[row["i"]] = row["v"]
-        return values[:-1], float(values[-1])

@@ -6,6 +6,9 @@ are in ``cohortis.models.grids`` and take the same path.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,13 +18,16 @@ from cohortis.models import classifiers as cl
 from cohortis.models import grids as G
 from cohortis.models import tuning as tn
 from cohortis.models.attention import AttentionClassifier
+from cohortis.models.encoders import MinMaxColumns, OneHotColumns, ZScoreColumns
+from cohortis.models.ensembles import boosted_fit, staged_grid_search
 from cohortis.operators import clean
 from cohortis.operators import evaluate as ev
 from cohortis.operators import split as sp
+from cohortis.plans.cleaning import EEG_KEEP, LESION_KEEP
 from cohortis.plans.interaction import LONG, linear_sql
 from cohortis.plans.interaction import weights as formula_weights
 from cohortis.plans.registry import hash_sql, query, r, rounded
-from cohortis.session import reliable_checkpoint, spread
+from cohortis.session import ensure_checkpoint_dir, reliable_checkpoint, spread
 from cohortis.sources import profiles as P
 from cohortis.sources import views as V
 
@@ -151,15 +157,64 @@ def fit_voting(spark, sf):
 
 @query("fit_attention")
 def fit_attention(spark, sf):
-    """Attention network on the embeddings, label = parity; trained and judged on a stratified split."""
-    df = V.vectors(spark, sf).select("vec_id", (F.col("label") % 2).alias("label"), "x")
-    data = reliable_checkpoint(sp.stratified_split(df, "label", "vec_id"))
+    """Attention pipeline on the embeddings, label = parity; chosen on a validation fold, saved, read and judged."""
+    df = V.vectors(spark, sf).select(
+        "vec_id", (F.col("label") % 2).cast("double").alias("label"), array_to_vector("x").alias("features"))
+    data = reliable_checkpoint(sp.stratified_folds(sp.stratified_split(df, "label", "vec_id"), "label", "vec_id", 5))
     train, test = _parts(data)
-    net = AttentionClassifier(key="vec_id", epochs=4, rate=0.1).fit(train, validation=test)
-    scored = net.score(test).withColumns({"model": F.lit("attention"), "cohort": F.lit("test")})
+    model, _ = AttentionClassifier().fit(train.where("fold <> 0"), train.where("fold = 0"))
+    scored = cl.positive_score(saved(spark, model), test).withColumns({"model": F.lit("attention"), "cohort": F.lit("test")})
     return ev.external_validation(scored.select("model", "cohort", "label", "score"))
 
 
+def saved(spark, model: PipelineModel) -> PipelineModel:
+    """The fitted pipeline as read from the copy that it leaves in the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.save(path)
+    return PipelineModel.load(path)
+
+
+TRAINING_COHORT = "BUILDING"
+_ENCODED = ", ".join(f"case when {c} = '{v}' then 1 else 0 end as {c}_{v}"
+                     for c in ("lesion", "eeg_cat") for v in P.IMAGING_CATEGORIES)
+
+
+@query("fitted_encoders", f"with {V.CASES_SQL}, kept as (select * from cases where {LESION_KEEP} and {EEG_KEEP}), "
+       "b as (select min(age_init) as lo, max(age_init) as hi from kept "
+       f"where cohort = '{TRAINING_COHORT}' and age_init between 20 and 40) "
+       f"select row_id, cohort, {r('(age_init - lo) / (hi - lo)')} as age_init, {_ENCODED} from kept, b "
+       f"where cohort <> '{TRAINING_COHORT}'")
+def fitted_encoders(spark, sf):
+    """Categories and bounds of one cohort (its patients of 20 to 40), saved, read and applied to the others."""
+    kept = V.cases(spark, sf).where(f"{LESION_KEEP} and {EEG_KEEP}").select(
+        "row_id", "cohort", "age_init", "lesion", "eeg_cat")
+    encoders = Pipeline(stages=[OneHotColumns(["lesion", "eeg_cat"]), MinMaxColumns(["age_init"])])
+    training = kept.where((F.col("cohort") == TRAINING_COHORT) & F.col("age_init").between(20, 40))
+    others = kept.where(F.col("cohort") != TRAINING_COHORT)
+    return rounded(saved(spark, encoders.fit(training)).transform(others), "age_init")
+
+
+@query("fitted_zscore", f"with {V.CASE_ORDERS_SQL}, m as (select avg(price) as a, stddev_pop(price) as s from case_orders "
+       f"where cohort = '{TRAINING_COHORT}') select case_id, cohort, {r('(price - a) / nullif(s, 0)')} as price "
+       f"from case_orders, m where cohort <> '{TRAINING_COHORT}'")
+def fitted_zscore(spark, sf):
+    """The other cohorts' prices in standard deviations of one cohort."""
+    df = V.case_orders(spark, sf).select("case_id", "cohort", "price")
+    model = Pipeline(stages=[ZScoreColumns(["price"])]).fit(df.where(F.col("cohort") == TRAINING_COHORT))
+    return rounded(saved(spark, model).transform(df.where(F.col("cohort") != TRAINING_COHORT)), "price")
+
+
+STAGED_ROUNDS = [5, 20, 100]
+
+
+@query("grid_gbt_staged")
+def grid_gbt_staged(spark, sf):
+    """Scores of every number of rounds from one fit of the most, for each learning rate and fold."""
+    train, _ = _parts(study(spark, sf))
+    settings = [{"stepSize": rate, "maxDepth": 4, "minInstancesPerNode": 50} for rate in (1.0, 0.1)]
+    return staged_grid_search(train, boosted_fit(G.boosted()), settings, STAGED_ROUNDS, folds=FOLDS)
+
+
 @query("pca_features")
 def pca_features(spark, sf):
     data = study(spark, sf)

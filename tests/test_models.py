@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from cohortis.functions import arrays as A
 from cohortis.functions import dense as D
 from cohortis.models import attention as at
 from cohortis.models import classifiers as cl
+from cohortis.models import encoders as en
+from cohortis.models import ensembles as en_ens
 from cohortis.models import grids as G
 from cohortis.models import tuning as tn
 from cohortis.operators import evaluate as ev
@@ -61,44 +65,138 @@ def test_vectors_must_be_present(spark):
         df.select(it.outer_attention(F.col("x"))).collect()
 
 
-def test_network_gradient_by_finite_differences():
-    rng = np.random.default_rng(1)
-    d, hidden = 5, 7
-    p = at.initial(d, hidden, 3)
-    x, y = rng.normal(size=(20, d)), (rng.random(20) > 0.5).astype(float)
-    _, grad, _ = at.loss_and_gradient(p, x, y)
-    for name, g in grad.items():
-        for place in np.ndindex(g.shape):
-            up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
-            up[name][place] += 1e-6
-            down[name][place] -= 1e-6
-            slope = (at.loss_and_gradient(up, x, y)[0] - at.loss_and_gradient(down, x, y)[0]) / 2e-6
-            assert slope == pytest.approx(g[place], abs=2e-5), (name, place)
-
-
-def test_attention_classifier_learns_and_ignores_partitioning(blobs):
-    fit = at.AttentionClassifier(key="id", hidden=16, epochs=8, batch=32, shard_rows=100)
-    net = fit.fit(blobs, validation=blobs)
-    assert auc(net.score(blobs)) > 0.85 and len(net.history) == 8
-    assert max(h["auc"] for h in net.history) == pytest.approx(auc(net.score(blobs)))
-    again = at.AttentionClassifier(key="id", hidden=16, epochs=2, batch=32, shard_rows=100)
-    a, b = (at.pack(again.fit(d).params) for d in (blobs.repartition(3), blobs.repartition(11)))
-    assert np.allclose(a, b)
-
-
-def test_one_hash_shard_is_sequential_sgd(blobs):
-    fit = at.AttentionClassifier(key="id", hidden=8, epochs=1, batch=64, dropout=0.0, attention_dropout=0.0)
-    got = fit.fit(blobs).params
-    rows = sorted((r["id"], r["x"], r["label"]) for r in blobs.collect())
-    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    p, order = at.initial(4, 8, 42), np.random.default_rng([42, 0, 0]).permutation(300)
-    for i in range(0, 300, 64):
-        pick = order[i:i + 64]
-        _, g, _ = at.loss_and_gradient(p, x[pick], y[pick])
-        for k, v in g.items():
-            p[k] = p[k] - 0.1 * (v + 0.01 * p[k])
-    for k in ("theta", "w1", "w2"):
-        assert np.allclose(got[k], p[k])
+def test_attention_pipeline_learns_and_scores_the_same_after_reload(blobs, tmp_path):
+    train, held_out = blobs.where("fold <> 0"), blobs.where("fold = 0")
+    model, history = at.AttentionClassifier(hidden=8, iterations=30, draws=(1, 2)).fit(train, held_out)
+    scored = cl.positive_score(model, held_out)
+    assert auc(scored) > 0.85 and auc(scored) == pytest.approx(max(h["auc"] for h in history)) and len(history) == 2
+    model.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    want, got = ({r["id"]: r["score"] for r in cl.positive_score(m, held_out).collect()} for m in (model, again))
+    assert got == want and again.stages[0].projections == model.stages[0].projections
+
+
+def test_attention_stage_equals_the_column_function(blobs):
+    p = at.drawn_projections(3)
+    stage = at.AttentionOutput(projections=p, subSample=True)
+    got = stage.transform(blobs).select(vector_to_array("attended"), it.attention_output(F.col("x"), p, True)).collect()
+    assert all(list(a) == pytest.approx(list(b)) for a, b in got)
+
+
+# ---- fitted encoders
+
+@pytest.fixture(scope="module")
+def cohorts(spark):
+    train = spark.createDataFrame(
+        [("A", 10, 1.0, "x"), ("B", 2, 3.0, "x"), (None, 2, None, "x"), ("B", 30, 5.0, "x")], "c string, k int, v double, w string")
+    other = spark.createDataFrame(
+        [("A", 2, 7.0, "y"), ("Z", 99, 1.0, "y"), (None, None, None, None)], "c string, k int, v double, w string")
+    return train, other
+
+
+def reloaded(model, path):
+    model.write().overwrite().save(str(path))
+    return type(model).load(str(path))
+
+
+def test_one_hot_model_keeps_the_training_categories(cohorts, tmp_path):
+    train, other = cohorts
+    model = reloaded(en.OneHotColumns(["c", "k"]).fit(train), tmp_path / "m")
+    got = model.transform(other)
+    assert got.columns == ["v", "w", "c_A", "c_B", "k_2", "k_10", "k_30"]
+    assert [tuple(r)[2:] for r in got.collect()] == [(1, 0, 1, 0, 0), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0)]
+    assert en.OneHotColumns(["c", "w"], dropFirst=True).fit(train).transform(other).columns == ["k", "v", "c_B"]
+
+
+def test_one_hot_refuses_too_many_categories(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError, match="more than 10"):
+        en.OneHotColumns(["c"], maxCategories=10).fit(df)
+    assert len(en.OneHotColumns(["c"], maxCategories=50).fit(df).transform(df).columns) == 50
+
+
+def test_scalers_use_the_training_numbers(cohorts, tmp_path):
+    train, other = cohorts
+    for stage, want in ((en.MinMaxColumns(["v"]), [1.5, 0.0, None]),
+                        (en.ZScoreColumns(["v"]), [4 / np.sqrt(8 / 3), -2 / np.sqrt(8 / 3), None])):
+        got = [r["v"] for r in reloaded(stage.fit(train), tmp_path / type(stage).__name__).transform(other).collect()]
+        assert got == [pytest.approx(w) if w is not None else None for w in want]
+
+
+@pytest.mark.parametrize("stage", [en.MinMaxColumns, en.ZScoreColumns])
+def test_scalers_of_constant_and_absent_columns_give_null(cohorts, stage, tmp_path):
+    train, other = cohorts
+    for frame in (train.withColumn("v", F.lit(2.0)), train.withColumn("v", F.lit(None).cast("double")), train.limit(0)):
+        model = reloaded(stage(["v"]).fit(frame), tmp_path / "m")
+        assert [r["v"] for r in model.transform(other).collect()] == [None] * 3
+
+
+def test_encoders_in_a_saved_pipeline(cohorts, tmp_path):
+    train, other = cohorts
+    fitted = Pipeline(stages=[en.OneHotColumns(["c"]), en.MinMaxColumns(["v", "k"])]).fit(train)
+    assert reloaded(fitted, tmp_path / "p").transform(other).collect() == fitted.transform(other).collect()
+
+
+# ---- long ensembles
+
+def scores(df, name="score"):
+    return {r["id"]: r[name] for r in df.collect()}
+
+
+def test_walked_trees_equal_the_library(blobs):
+    model = G.boosted(maxIter=6, maxDepth=4, stepSize=0.3).fit(blobs)
+    got, want = scores(en_ens.Ensemble.of(model).score(blobs)), scores(cl.positive_score(model, blobs))
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_staged_scores_equal_separate_fits(blobs):
+    rounds = [1, 4]
+    gbt = {"stepSize": 0.3, "maxDepth": 3, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.5"}
+    fit = en_ens.boosted_fit(G.boosted())
+    staged = en_ens.Ensemble.of(fit(blobs, gbt, 4)).staged_scores(blobs, rounds)
+    ada = cl.AdaBoost(rounds=4, max_depth=2).fit(blobs)
+    ada_staged = en_ens.Ensemble.of(ada).staged_scores(blobs, rounds)
+    for n in rounds:
+        assert scores(staged.where(F.col("n_rounds") == n)) == pytest.approx(
+            scores(cl.positive_score(fit(blobs, gbt, n), blobs)), abs=1e-12)
+        part = cl.AdaBoost(rounds=n, max_depth=2).fit(blobs)
+        chain = blobs
+        for i, t in enumerate(part.trees):
+            chain = t.copy({t.predictionCol: f"p{i}", t.rawPredictionCol: "", t.probabilityCol: ""}).transform(chain)
+        vote = sum(F.lit(a / sum(part.alphas)) * (2 * F.col(f"p{i}") - 1) for i, a in enumerate(part.alphas))
+        want = scores(chain.withColumn("score", 1 / (1 + F.exp(-vote))))
+        assert scores(ada_staged.where(F.col("n_rounds") == n)) == pytest.approx(want, abs=1e-12)
+        assert scores(part.score(blobs)) == pytest.approx(want, abs=1e-12)
+
+
+def test_two_thousand_trees_have_a_plan_of_constant_depth(blobs):
+    trees = G.boosted(maxIter=4, maxDepth=3).fit(blobs)
+    nodes = [en_ens.tree_nodes(t) for t in trees.trees]
+    long = en_ens.Ensemble([nodes[i % 4] for i in range(2000)], [1.0 / (i + 1) for i in range(2000)])
+
+    def plan(e):
+        return e.score(blobs.select("id", "features"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+
+    assert len(plan(long)) == len(plan(en_ens.Ensemble(nodes, [1.0] * 4)))
+    leaves = {(r["id"], i): r["prediction"] for i, t in enumerate(trees.trees) for r in t.transform(blobs).collect()}
+    weight = [sum(1.0 / (i + 1) for i in range(j, 2000, 4)) for j in range(4)]
+    for i, score in list(scores(long.score(blobs)).items())[:50]:
+        margin = sum(w * leaves[i, j] for j, w in enumerate(weight))
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_staged_rounds_beyond_an_early_end(blobs):
+    pure = blobs.where("label = 1")
+    model = cl.AdaBoost(rounds=3).fit(pure)
+    got = en_ens.Ensemble.of(model).staged_scores(pure.select("id", "features"), [1, 5])
+    assert got.groupBy("n_rounds").count().count() == 2 and got.select("score").distinct().count() == 1
+
+
+def test_staged_grid_search(blobs):
+    table = en_ens.staged_grid_search(blobs, en_ens.boosted_fit(G.boosted()), [{"maxDepth": 1}, {"maxDepth": 3}], [1, 4], folds=2)
+    assert table.count() == 2 * 2 * 2 and table.where("score < 0.6 or score > 1").count() == 0
+    best = tn.select_best(table, ["candidate", "n_rounds"]).first()
+    assert best["n_rounds"] in (1, 4)
 
 
 def test_grid_search_picks_the_best_mean(blobs):
