@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +20,10 @@ from pyspark.sql.window import Window
 from cohortis.llm.common import Scratch
 
 CAPACITY = 2048
-CACHE_ENTRIES = 600_000  # pre-tokens that a worker remembers
-CACHE_BYTES = 48  # longest of them
+CACHE_ENTRIES = 1_000_000  # pre-tokens that a worker remembers, about
+CACHE_LETTERS = 24  # letters of one, if they were equally long
+NEW_WORDS = 100  # words of one library call
+GROUP_LETTERS = 2_000_000  # text encoded at a time
 ROWS_PER_SALT = 1_000_000  # pieces of one length that a task ranks, about
 
 
@@ -26,13 +31,47 @@ OPENING = "\u0120\u010a"  # how byte-level vocabularies write a space and a newl
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
+class WordTable:
+    """Words and their ids, by number: ids of word n are ``ids[ends[n]:ends[n + 1]]``."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends, self.letters = array("I"), array("q", [0]), 0
+
+    def add(self, words: list[str], raw: bytes, sizes: np.ndarray) -> None:
+        """Adds new words whose ids, ``sizes`` of them each, follow one another in ``raw``."""
+        n = len(self.numbers)
+        self.numbers.update(zip(words, range(n, n + len(words))))
+        self.ends.frombytes((len(self.ids) + np.cumsum(sizes, dtype=np.int64)).tobytes())
+        self.ids.frombytes(raw)
+        self.letters += sum(map(len, words))
+
+    def get(self, word: str) -> bytes | None:
+        n = self.numbers.get(word)
+        return None if n is None else self.ids[self.ends[n]:self.ends[n + 1]].tobytes()
+
+    def numbers_of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def gather(self, numbers: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The ids of consecutive texts of ``counts`` words each, given the numbers of their words."""
+        ends = np.array(self.ends)
+        starts, sizes = ends[numbers], np.diff(ends)[numbers]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])
+        raw = np.frombuffer(self.ids, np.uint32)[places].astype("<u4").tobytes()
+        cuts = (4 * upto[np.concatenate([[0], np.cumsum(counts)])]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class CachedEncoder:
-    """ids of a text as little-endian uint32 bytes, equal to the library's ids for the whole text.
+    """ids of texts as little-endian uint32 bytes, equal to the library's ids for each whole text.
 
     Byte-level pre-tokens never reach over a single space or newline between two visible characters, so such a text is
-    encoded word by word (a word with the space or newline before it); a text's new words go through the library in
-    one call. Texts with other white space next to a space or newline, or with a special token's string, are encoded
-    whole. Two generations of words let the ones in use outlast a full cache.
+    encoded word by word (a word with the space or newline before it): new words go through the library, many in one
+    call, and the words of a batch of texts are told apart once and their ids gathered from the word table. Texts with other white
+    space next to a space or newline, or with a special token's string, are encoded whole. Two generations of the table
+    let the words in use outlast a full one.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -43,35 +82,37 @@ class CachedEncoder:
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space or newline
         self.opens[[i for token, i in vocabulary.items() if token[0] in OPENING]] = True
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.recent, self.older = WordTable(), WordTable()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
 
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        """ids of words that have a space before them or start with a newline, cut at the ids that start with either."""
+    def _add_new(self, words: list[str]) -> None:
+        """Encodes words that have a space before them or start with a newline, cut at the ids that start with either."""
         units = [w if w[0] == "\n" else " " + w for w in words]
-        ids = np.array(self.library.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, np.uint32)
-        starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
-        if len(starts) != len(units):
-            return self._library(units)
-        raw = ids.astype("<u4").tobytes()
-        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """ids of words that the recent generation lacks."""
-        done = {w: self.older.get(w) for w in words}
-        new = [w for w, ids in done.items() if ids is None]
-        if len(self.recent) + len(done) > CACHE_ENTRIES // 2:
-            self.older, self.recent = self.recent, {}
-        if len(new) < len(done):
-            self.recent.update((w, ids) for w, ids in done.items() if ids is not None)
-        if new:
-            done.update(zip(new, self._new_words(new)))
-            self.recent.update((w, done[w]) for w in new if len(w) <= CACHE_BYTES)
-        return done
+        ids = np.array(self.library.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) == len(units):
+            self.recent.add(words, ids.tobytes(), np.diff(np.append(starts, len(ids))))
+        else:
+            self._add_raw(words, self._library(units))
+
+    def _add_raw(self, words: list[str], raw: list[bytes]) -> None:
+        self.recent.add(words, b"".join(raw), np.array(list(map(len, raw)), np.int64) // 4)
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the words into the recent table that it lacks."""
+        numbers = self.recent.numbers
+        missing = list(dict.fromkeys(w for w in words if w not in numbers))
+        known = list(map(self.older.get, missing))
+        self._add_raw([w for w, raw in zip(missing, known) if raw is not None], [raw for raw in known if raw is not None])
+        new = [w for w, raw in zip(missing, known) if raw is None]
+        first = [w for w in new if w[0] == " "]  # a text's first word, marked by the space that no other word has
+        self._add_raw(first, self._library([w[1:] for w in first]))
+        inner = [w for w in new if w[0] != " "]
+        for at in range(0, len(inner), NEW_WORDS):
+            self._add_new(inner[at:at + NEW_WORDS])
 
     def _splits(self, text: str) -> bool:
         """Every space and newline stands between two visible characters, and no special token's string is there."""
@@ -81,26 +122,47 @@ class CachedEncoder:
             return False
         return not any(s in text for s in self.specials)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.recent.numbers) > CACHE_ENTRIES // 2 or self.recent.letters > CACHE_ENTRIES // 2 * CACHE_LETTERS:
+            self.older, self.recent = self.recent, WordTable()
+        done, firsts, rests, split = [b""] * len(texts), [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self._splits(text):
+                done[i] = self._library([text])[0]
+                continue
+            first, gap, rest = text.replace("\n", " \n").partition(" ")
+            firsts.append(" " + first)
+            rests.append(rest if gap else None)
+            split.append(i)
+        if split:
+            parts = pc.split_pattern(pa.array(rests, pa.string()), " ")
+            coded = parts.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            self._learn(distinct + firsts)
+            numbers = self.recent.numbers_of(distinct)[coded.indices.to_numpy()]
+            sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
+            numbers = np.insert(numbers, np.cumsum(sizes) - sizes, self.recent.numbers_of(firsts))
+            for i, raw in zip(split, self.recent.gather(numbers, sizes + 1)):
+                done[i] = raw
+        return done
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self._splits(text):
-            return self._library([text])[0]
-        words = text.replace("\n", " \n").split(" ")
-        found = list(map(self.recent.get, words))
-        found[0] = self._library(words[:1])[0]
-        gaps, at = [], -1
-        try:
-            while True:
-                at = found.index(None, at + 1)
-                gaps.append(at)
-        except ValueError:
-            pass
-        if gaps:
-            new = self._encode_words([words[i] for i in gaps])
-            for i in gaps:
-                found[i] = new[words[i]]
-        return b"".join(found)
+        return self.encode_all([text])[0]
+
+
+def text_groups(texts: list[str], letters: int) -> Iterator[list[str]]:
+    """Consecutive texts, so many that a group has about ``letters`` letters."""
+    group, held = [], 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= letters:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 ENCODERS: dict[str, CachedEncoder] = {}  # of a worker process, so that its next task finds the words known
@@ -137,8 +199,9 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity
                            pa.array(ids, pa.binary())]
                 return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                whole = encoder.encode(value or "") + end
+            groups = text_groups([value or "" for value in batch.column(1).to_pylist()], GROUP_LETTERS)
+            for i, raw in enumerate(chain.from_iterable(map(encoder.encode_all, groups))):
+                whole = raw + end
                 for at in range(0, len(whole), step):
                     owner.append(i)
                     start.append(at // 4)
@@ -149,7 +212,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity
                         yield flush()
                         owner, start, total, ids, size = [], [], [], [], 0
             yield flush()
-        encoder.older = {}  # an idle worker keeps half of the words at most
+        encoder.older = WordTable()  # an idle worker keeps half of the words at most
 
     return source.mapInArrow(scan, schema)
 
