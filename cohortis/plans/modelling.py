@@ -209,10 +209,10 @@ STAGED_ROUNDS = [5, 20, 100]
 
 @query("grid_gbt_staged")
 def grid_gbt_staged(spark, sf):
-    """Scores of every number of rounds from one fit of the most, for each learning rate and fold."""
+    """Scores of every number of rounds from one fit of the most; the first fold is held out."""
     train, _ = _parts(study(spark, sf))
-    settings = [{"stepSize": rate, "maxDepth": 4, "minInstancesPerNode": 50} for rate in (1.0, 0.1)]
-    return staged_grid_search(train, boosted_fit(G.boosted()), settings, STAGED_ROUNDS, folds=FOLDS)
+    settings = [{"stepSize": 0.1, "maxDepth": 4, "minInstancesPerNode": 50}]
+    return staged_grid_search(train, boosted_fit(G.boosted()), settings, STAGED_ROUNDS, folds=1)
 
 
 @query("pca_features")
