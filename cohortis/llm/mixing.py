@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from cohortis.functions.keyed import HASH_BITS, keyed_hash
 from cohortis.llm.common import Scratch, n_words
 
 PART_BITS = 10  # of a coarse bucket, and again of the fine buckets in it
-CLASSES_PER_E = 8  # size classes for each factor of e; one document of each may fill what the cut leaves open
+LARGE_SHARE = 2000  # a document of more than this part of its source is large; a source has fewer than this many
 PLACE = ("place", "id", "size", "rid")  # the seeded order of a source's documents
 ALL, NONE = 1 << HASH_BITS, -1  # cuts behind and before every bucket
 
@@ -38,9 +40,10 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
 
 
 def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: float, seed: int, text: str, source: str,
-             key: str, carry: list[str], whole: bool) -> DataFrame:
+             key: str, carry: list[str]) -> DataFrame:
     """id, src, size, source_size, target, copies and the ``carry`` columns prefixed by ``c_``, one row a document."""
     scratch = Scratch(docs.sparkSession, "mix")
+    most = math.ceil(max_epochs)
     place = keyed_hash(seed, "mix", F.coalesce(F.col(key).cast("string"), F.lit("null")))
     sized = docs.select(F.col(key).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"),
                         place.alias("place"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
@@ -51,98 +54,83 @@ def _planned(docs: DataFrame, weights: list[int], share: float, max_epochs: floa
     turn = F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
     sources = scratch.write("sources", sizes.withColumn("weight", weight))
-    filled = water_fill(sources, share, max_epochs)
-    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    filled = (filled.withColumn("whole", F.floor(factor))
-              .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    pool = rows.select("id", "src", "size", "place", "bucket", "rid")
-    bounds = scratch.write("bounds", filled.select(
-        "src", "rest", F.lit(0).cast("long").alias("least"), F.lit(float("inf")).alias("most")))
-    state, again = None, True
-    while again:
-        done = _round(scratch, pool, bounds)
-        if state is not None:
-            done = state.alias("o").join(done.alias("n"), F.expr("o.src <=> n.src"), "left").select(
-                "o.src", *[F.concat(f"o.{c}", F.coalesce(f"n.{c}", F.array())).alias(c) for c in ("rounds", "picks")],
-                *[F.when(F.col("n.rounds").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
-                  for c in ("left", "over")])
-        state = scratch.write("state", done)
-        if not whole:
-            break
-        # What is left and may still matter: a document that fits, or comes nearest beyond.
-        pool = scratch.write("pool", pool.alias("r").join(state.alias("p"), F.expr("r.src <=> p.src")).filter(
-            ~_taken() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left"))).select("r.*"))
-        fitting = pool.groupBy("src").agg(F.min("size").alias("least"))
-        bounds = scratch.write("bounds", fitting.alias("f").join(state.alias("p"), F.expr("f.src <=> p.src")).filter(
-            "least <= left").select("f.src", F.col("left").alias("rest"), "least", F.col("left").alias("most")))
-        again = not bounds.isEmpty()
-    plan = filled.alias("f").join(state.alias("p"), F.expr("f.src <=> p.src"), "left").select(
-        "f.*", "p.rounds", F.concat("p.picks", "p.over").alias("picks"))
-    full = rows.alias("r").join(scratch.write("plan", plan).alias("p"), F.expr("r.src <=> p.src")).drop(F.col("p.src"))
-    return full.select(
-        "id", "src", "size", "source_size", "target", (F.col("whole") + _taken().cast("long")).alias("copies"),
-        *[f"`c_{c}`" for c in carry])
-
-
-def _round(scratch: Scratch, pool: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(src, rounds, picks, left, over) of one round of the fill, one row for each source of ``bounds``.
-
-    ``pool`` holds the documents that no round has taken, ``bounds`` (src, rest, least, most) what is left of each
-    source's target and the sizes that go in order this time. ``rounds`` holds one entry that ``_taken`` reads, the
-    other arrays row ids: ``picks`` from the size classes, ``over`` the document that comes nearest to ``left`` beyond.
+    filled = scratch.write("filled", water_fill(sources, share, max_epochs).select("src", "source_size", "target"))
+    lean = rows.select("id", "src", "size", "place", "bucket", "rid")
+    known = lean.alias("r").join(filled.alias("f"), F.expr("r.src <=> f.src")).select("r.*", "source_size")
+    large = known.filter(F.col("size") * LARGE_SHARE > F.col("source_size"))
+    listed = large.groupBy("src").agg(F.array_sort(F.collect_list(
+        F.struct(F.negative("size").alias("order"), *PLACE))).alias("docs"))
+    chosen = scratch.write("chosen", filled.alias("f").join(listed.alias("l"), F.expr("f.src <=> l.src"), "left").select(
+        "f.src", _choose_large(most).alias("plan")))
+    # What the large documents leave of the target goes to the others: whole repetitions, and a part of one more.
+    left, room = F.col("plan.left"), F.col("plan.room")
+    factor = F.when(room > 0, F.least(F.greatest(left / room, F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
+    shares = scratch.write("shares", chosen.select("src", F.floor(factor).alias("whole"), left.alias("left"), room.alias("room")).select(
+        "src", "whole", F.when(F.col("whole") < most, F.greatest(F.col("left") - F.col("whole") * F.col("room"), F.lit(0.0)))
+        .otherwise(0.0).alias("rest")))
+    ends = _last_taken(scratch, known.filter(F.col("size") * LARGE_SHARE <= F.col("source_size")).drop("source_size"), shares)
+    few = chosen.select(F.explode("plan.copies").alias("c")).select("c.rid", "c.copies")
+    full = rows.alias("r").join(filled.alias("f"), F.expr("r.src <=> f.src")).select("r.*", "source_size", "target")
+    is_large = F.col("size") * LARGE_SHARE > F.col("source_size")
+    reached = (F.col("bucket") < F.col("cut")) | (
+        (F.col("bucket") == F.col("cut")) & F.coalesce(F.struct(*PLACE) <= F.col("last"), F.lit(False)))
+    others = full.filter(~is_large).alias("r").join(ends.alias("e"), F.expr("r.src <=> e.src")).select(
+        "r.*", "whole", "cut", "last").withColumn("copies", F.col("whole") + reached.cast("long"))
+    kept = ["id", "src", "size", "source_size", "target", "copies", *[f"`c_{c}`" for c in carry]]
+    return others.select(*kept).unionByName(full.filter(is_large).join(few, "rid").select(*kept))
+
+
+def _choose_large(most: int) -> Column:
+    """left, room and copies (rid, copies) after the large documents of a source, from the largest down.
+
+    ``left`` is what is left of the target and ``room`` the size of the documents not yet decided, each of which may be
+    taken up to ``most`` times. A document gets the number of copies after which the rest can still meet the target, or
+    miss it least, and of those the one nearest to ``left / room``.
+    """
+    empty = F.array().cast("array<struct<rid: bigint, copies: bigint>>")
+    start = F.struct(F.col("target").alias("left"), F.col("source_size").alias("room"), empty.alias("copies"))
+
+    def decide(acc: Column, doc: Column) -> Column:
+        after = acc["room"] - doc["size"]
+
+        def option(c: int) -> Column:
+            rest = acc["left"] - c * doc["size"]
+            miss = F.greatest(F.lit(0.0), -rest, rest - most * after)
+            return F.struct(miss, F.abs(F.lit(float(c)) - acc["left"] / acc["room"]), F.lit(c).cast("long").alias("copies"))
+
+        copies = F.array_min(F.array(*[option(c) for c in range(most + 1)]))["copies"]
+        taken = F.struct(doc["rid"].alias("rid"), copies.alias("copies"))
+        return F.struct((acc["left"] - copies * doc["size"]).alias("left"), after.alias("room"),
+                        F.concat(acc["copies"], F.array(taken)).alias("copies"))
+
+    sizes = F.transform("docs", lambda d: F.struct(d["size"].alias("size"), d["rid"].alias("rid")))
+    none = F.array().cast("array<struct<size: bigint, rid: bigint>>")
+    return F.aggregate(F.coalesce(sizes, none), start, decide)
+
+
+def _last_taken(scratch: Scratch, pool: DataFrame, shares: DataFrame) -> DataFrame:
+    """(src, whole, cut, last): documents up to ``last`` of the bucket ``cut`` in the seeded order are taken once more.
+
+    ``pool`` holds the documents that are not large, ``shares`` (src, whole, rest) what each source still needs. The
+    running size is taken over coarse buckets, then over the fine ones of the bucket in which the cut falls, then over
+    the rows of one fine bucket: no task orders a whole source. The document at the cut is taken if that comes nearer.
     """
-    # The cut's coarse bucket first, then the fine one in it: each window holds 2**PART_BITS rows a source at most.
     coarse = F.shiftright("bucket", PART_BITS)
-    live = pool.alias("r").join(bounds.alias("b"), F.expr("r.src <=> b.src")).select("r.*", "least", "most")
-    fits = live.filter(F.col("size").between(F.col("least"), F.col("most"))).drop("least", "most")
     wide = scratch.write("wide", _cut(
-        fits.groupBy("src", coarse.alias("part")).agg(F.sum("size").alias("within")),
-        bounds.select("src", "rest", F.lit(0).cast("long").alias("base"))))
-    inside = fits.alias("r").join(wide.alias("w"), F.expr("r.src <=> w.src") & (coarse == F.col("cut")))
+        pool.groupBy("src", coarse.alias("part")).agg(F.sum("size").alias("within")),
+        shares.select("src", "rest", F.lit(0).cast("long").alias("base"))))
+    inside = pool.alias("r").join(wide.alias("w"), F.expr("r.src <=> w.src") & (coarse == F.col("cut")))
     cut = scratch.write("cut", _cut(
         inside.groupBy(F.col("r.src").alias("src"), F.col("bucket").alias("part")).agg(F.sum("size").alias("within")),
         wide.drop("cut")))
-    edge = fits.alias("r").join(cut.alias("k"), F.expr("r.src <=> k.src and r.bucket = k.cut")).select(
-        "r.*", "base", "rest")
+    edge = pool.alias("r").join(cut.alias("k"), F.expr("r.src <=> k.src and r.bucket = k.cut")).select("r.*", "base", "rest")
     order = Window.partitionBy("src").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    last = edge.withColumn("upto", F.col("base") + F.sum("size").over(order)).filter("upto <= rest").groupBy("src").agg(
-        F.max(F.struct(*PLACE)).alias("last"))
-    entry = F.struct("b.least", "b.most", F.when(F.col("b.rest") > 0, F.coalesce("k.cut", F.lit(ALL))).otherwise(
-        NONE).cast("long").alias("cut"), "l.last")
-    ends = scratch.write("ends", bounds.alias("b").join(cut.alias("k"), F.expr("b.src <=> k.src"), "left")
-                         .join(last.alias("l"), F.expr("b.src <=> l.src"), "left")
-                         .select("b.src", "b.rest", F.array(entry).alias("rounds"), F.array().cast("array<long>").alias("picks")))
-    full = pool.alias("r").join(ends.alias("p"), F.expr("r.src <=> p.src")).select("r.*", "rest", _taken().alias("more"))
-    spare = full.groupBy("src").agg(
-        (F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("spare"))
-    choice = full.filter("not more and size > 0").withColumn("class", F.floor(F.log("size") * CLASSES_PER_E)).groupBy(
-        "src", "class").agg(F.min(F.struct("place", "rid", "size")).alias("doc"))
-    choices = choice.groupBy("src").agg(F.reverse(F.array_sort(F.collect_list(
-        F.struct("doc.size", "doc.place", "doc.rid")))).alias("docs"))
-    filled_up = F.aggregate(
-        "docs", F.struct(F.col("spare").alias("left"), F.array().cast("array<long>").alias("rids")),
-        lambda acc, d: F.when(d["size"] <= acc["left"], F.struct(
-            (acc["left"] - d["size"]).alias("left"), F.concat(acc["rids"], F.array(d["rid"])).alias("rids"))).otherwise(acc))
-    left = F.col("fit.left")
-    nearer = F.filter("docs", lambda d: (d["size"] < 2 * left) & ~F.array_contains("fit.rids", d["rid"]))
-    over = F.array_min(F.transform(nearer, lambda d: F.struct(F.abs(left - d["size"]), d["place"], d["rid"].alias("rid"))))
-    fit = scratch.write("fit", spare.alias("s").join(choices.alias("c"), F.expr("s.src <=> c.src")).withColumn(
-        "fit", filled_up).select("s.src", "fit.left", F.col("fit.rids").alias("picks"),
-                                 F.filter(F.array(over["rid"]), lambda r: r.isNotNull()).alias("over")))
-    return ends.alias("e").join(fit.alias("f"), F.expr("e.src <=> f.src"), "left").select(
-        "e.src", "rounds", F.coalesce("f.picks", "e.picks").alias("picks"),
-        F.coalesce("left", F.lit(0.0)).alias("left"), F.coalesce("over", "e.picks").alias("over"))
-
-
-def _taken() -> Column:
-    """The row's document is among those that the ``rounds`` and ``picks`` of its source take."""
-    def reached(r: Column) -> Column:
-        upto = F.coalesce(F.struct(*PLACE) <= r["last"], F.lit(False))
-        return F.col("size").between(r["least"], r["most"]) & (
-            (F.col("bucket") < r["cut"]) | ((F.col("bucket") == r["cut"]) & upto))
-
-    return F.coalesce(F.exists("rounds", reached), F.lit(False)) | F.coalesce(
-        F.array_contains("picks", F.col("rid")), F.lit(False))
+    upto, rest = F.col("upto"), F.col("rest")
+    last = edge.withColumn("upto", F.col("base") + F.sum("size").over(order)).filter(
+        upto - rest < rest - (upto - F.col("size"))).groupBy("src").agg(F.max(F.struct(*PLACE)).alias("last"))
+    limit = F.when(F.col("s.rest") > 0, F.coalesce("k.cut", F.lit(ALL))).otherwise(NONE).cast("long").alias("cut")
+    return scratch.write("ends", shares.alias("s").join(cut.alias("k"), F.expr("s.src <=> k.src"), "left")
+                         .join(last.alias("l"), F.expr("s.src <=> l.src"), "left").select("s.src", "s.whole", limit, "l.last"))
 
 
 def _cut(sums: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -159,33 +147,29 @@ def _cut(sums: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 11,
-             text: str = "text", source: str = "source", key: str = "doc_id", whole: bool = True) -> DataFrame:
+             text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """Per document: ``key``, ``source``, size (words), source_size, target (of its source) and copies.
 
-    Sources in code point order, null last, take ``weights`` in turn. Each document is repeated
-    ``floor(target / source_size)`` times; the rest of the target is filled with one more repetition of the documents
-    that come first in a seeded order of the source, for as long as their running size fits in it. What the first one
-    that does not fit leaves open is filled from the largest down with one document of each size class (about a
-    hundred classes, whatever the corpus) where it fits. As long as documents are left that fit in what is still open,
-    both steps are repeated over those alone, so a document larger than the remainder keeps no other out. At last the
-    one that comes nearest beyond is added. A round's state is one row a source. Without ``whole`` the first round is
-    the only one, which is all that the SQL of ``op10_mixing`` states: a long document may then leave most of the
-    remainder open.
+    Sources in code point order, null last, take ``weights`` in turn. A document larger than 1 / LARGE_SHARE of its
+    source gets its number of copies on its own, the largest first, so that the documents behind it can make up for
+    what its size leaves over; a large document may thus displace copies of smaller ones. What is left of the target is
+    spread over the other documents: each is repeated as often as it goes into their size, and the rest of it is filled
+    with one more repetition of those that come first in a seeded order. So a target that documents can meet is missed
+    by half a document at most, one smaller than 1 / LARGE_SHARE of its source or the source's smallest.
 
-    The running size is taken over coarse hash buckets, then over the fine ones of the bucket in which the cut falls,
-    then over the rows of one fine bucket: no task orders a whole source. Reruns agree, since the order is a keyed hash
-    of the document id.
+    No task orders a whole source: large ones are fewer than LARGE_SHARE, the others are cut by hash buckets. Reruns
+    agree, since the order is a keyed hash of the document id.
 
     A null or empty text has size 0 and adds nothing. Rows with one id are separate rows at one place of the order,
     the smaller first. An empty table gives an empty plan.
     """
-    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, [], whole)
+    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, [])
     return planned.withColumnsRenamed({"id": key, "src": source})
 
 
 def mix_documents(docs: DataFrame, weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 11,
-                  text: str = "text", source: str = "source", key: str = "doc_id", whole: bool = True) -> DataFrame:
+                  text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as ``mix_plan`` says, with its columns and no others."""
-    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, docs.columns, whole)
+    planned = _planned(docs, weights, share, max_epochs, seed, text, source, key, docs.columns)
     repeated = planned.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return repeated.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])

@@ -132,9 +132,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_mixing", sql.mixing(MIX_WEIGHTS))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL states one round of the fill, so the query ends there; the pipeline fills the whole remainder.
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    plan = mixing.mix_plan(docs, MIX_WEIGHTS, whole=False)
+    plan = mixing.mix_plan(docs, MIX_WEIGHTS)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from cohortis.llm.line_dedup import MIN_WORDS
-from cohortis.llm.mixing import CLASSES_PER_E
+from cohortis.llm.mixing import LARGE_SHARE
 from cohortis.llm.url_filter import MAX_RHO, MIN_RHO, SUFFIXES
 from cohortis.plans.registry import hash_sql
 
@@ -119,7 +121,7 @@ FROM parts JOIN host_ ON host_.host = parts.host
 
 def mixing(weights: list[int], share: float = 1.5, max_epochs: float = 2.0, seed: int = 11) -> str:
     listed = ", ".join(f"{float(w)}::DOUBLE" for w in weights)
-    place = hash_sql(seed, "mix", "CAST(doc_id AS VARCHAR)")
+    place, most = hash_sql(seed, "mix", "CAST(doc_id AS VARCHAR)"), math.ceil(max_epochs)
     return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source AS src, {place} AS place,
@@ -134,37 +136,33 @@ WITH RECURSIVE d AS (
 ), t AS (
   SELECT src, source_size, CASE WHEN k < coalesce(f.k1, 1e18) THEN cap ELSE weight * f.l END AS target
   FROM o, (SELECT min(k) AS k1, min_by(level, k) AS l FROM o WHERE weight * level <= cap) f
-), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
-), r AS (
-  SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,
-    sum(size) OVER (PARTITION BY d.src ORDER BY place, doc_id, size) AS upto
-  FROM d JOIN p ON p.src IS NOT DISTINCT FROM d.src
-), marked AS (SELECT *, rest > 0 AND upto <= rest AS more FROM r
-), spare AS (
-  SELECT src, any_value(rest) - CAST(sum(CASE WHEN more THEN size ELSE 0 END) AS DOUBLE) AS spare FROM marked
-  GROUP BY src HAVING any_value(source_size) > any_value(rest)
-), classes AS (
-  SELECT src, min_by(size, place) AS size, min(place) AS place FROM marked WHERE NOT more AND size > 0
-  GROUP BY src, floor(ln(size) * {CLASSES_PER_E})
-), candidates AS (
-  SELECT *, row_number() OVER (PARTITION BY src ORDER BY size DESC, place DESC) AS k FROM classes
-), fill AS (
-  SELECT src, CAST(0 AS BIGINT) AS k, spare AS left_, CAST(NULL AS BIGINT) AS pick FROM spare
+), large AS (
+  SELECT d.*, row_number() OVER (PARTITION BY d.src ORDER BY size DESC, place, doc_id) AS k
+  FROM d JOIN t ON t.src IS NOT DISTINCT FROM d.src WHERE size * {LARGE_SHARE} > source_size
+), walk AS (
+  SELECT src, CAST(0 AS BIGINT) AS k, CAST(target AS DOUBLE) AS left_, source_size AS room, CAST(NULL AS BIGINT) AS doc_id,
+    CAST(0 AS BIGINT) AS copies FROM t
+  UNION ALL
+  SELECT src, k, left_ - copies * size, room - size, doc_id, copies FROM (
+    SELECT l.src, l.k, l.size, l.doc_id, w.left_, w.room, CAST(list_sort([
+      {{'miss': greatest(0e0, c * l.size - w.left_, w.left_ - c * l.size - {most} * (w.room - l.size)),
+        'off': abs(c - w.left_ / w.room), 'copies': c}} FOR c IN range(0, {most} + 1)])[1].copies AS BIGINT) AS copies
+    FROM walk w JOIN large l ON l.src IS NOT DISTINCT FROM w.src AND l.k = w.k + 1)
+), shares AS (
+  SELECT *, CASE WHEN whole < {most} THEN greatest(left_ - whole * room, 0e0) ELSE 0e0 END AS rest FROM (
+    SELECT *, CASE WHEN room > 0 THEN floor(least(greatest(left_ / room, 0e0), {most})) ELSE 0 END AS whole FROM (
+      SELECT src, max_by(left_, k) AS left_, max_by(room, k) AS room FROM walk GROUP BY src))
+), others AS (
+  SELECT d.*, whole, rest, sum(size) OVER (PARTITION BY d.src ORDER BY place, doc_id, size) AS upto
+  FROM d JOIN t ON t.src IS NOT DISTINCT FROM d.src JOIN shares ON shares.src IS NOT DISTINCT FROM d.src
+  WHERE size * {LARGE_SHARE} <= source_size
+), copied AS (
+  SELECT doc_id, src, copies FROM walk WHERE k > 0
   UNION ALL
-  SELECT f.src, c.k, CASE WHEN c.size <= left_ THEN left_ - c.size ELSE left_ END,
-    CASE WHEN c.size <= left_ THEN c.place END
-  FROM fill f JOIN candidates c ON c.src IS NOT DISTINCT FROM f.src AND c.k = f.k + 1
-), over_ AS (
-  SELECT c.src, arg_min(c.place, {{'miss': abs(e.left_ - c.size), 'place': c.place}}) AS pick
-  FROM candidates c JOIN (SELECT src, arg_max(left_, k) AS left_ FROM fill GROUP BY src) e
-    ON c.src IS NOT DISTINCT FROM e.src
-  WHERE c.size < 2 * e.left_ AND NOT EXISTS (
-    SELECT 1 FROM fill f WHERE f.src IS NOT DISTINCT FROM c.src AND f.pick = c.place) GROUP BY c.src
-), extra AS (SELECT src, pick FROM fill WHERE pick IS NOT NULL UNION SELECT src, pick FROM over_)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN more OR extra.pick IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM marked m LEFT JOIN extra ON extra.src IS NOT DISTINCT FROM m.src AND extra.pick = m.place
+  SELECT doc_id, src, whole + CASE WHEN rest > 0 AND upto - rest < rest - (upto - size) THEN 1 ELSE 0 END FROM others
+)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
+FROM d JOIN copied USING (doc_id) JOIN t ON t.src IS NOT DISTINCT FROM d.src
 """
 
 

@@ -33,8 +33,8 @@ def test_stages_equal_brute_force(spark, documents):
     for r in seen["mixing"]:
         taken[r["source"]] += words[r["doc_id"]][1]
     targets = brute.mix_targets(dict(sizes), [5, 2, 1])
-    largest = {s: max(n for t, n in words.values() if t == s) for s in sizes}
-    assert all(abs(taken[s] - targets[s]) <= largest[s] / 2 + 1 for s in sizes)  # whole documents only
+    smallest = {s: min(n for t, n in words.values() if t == s) for s in sizes}
+    assert all(abs(taken[s] - targets[s]) <= 0.004 * targets[s] + smallest[s] / 2 + 1 for s in sizes)
     assert max(Counter(r["doc_id"] for r in seen["mixing"]).values()) <= 2
     copies = Counter(r["doc_id"] for r in seen["mixing"])
     texts = {r["doc_id"]: r["text"] for r in seen["mixing"]}
@@ -48,7 +48,7 @@ def test_stages_equal_brute_force(spark, documents):
 
 def test_registered():
     names = list(queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert "pipeline" not in oracle_sql() and corpus_pipeline.ORACLE_SQL is None
 
 
