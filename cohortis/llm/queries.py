@@ -118,7 +118,8 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_url_filter", sql.url_filter(RULES))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(page_outcomes(spark, sf_dir), RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"),
+                         F.round("bad_lower", 6).alias("bad_lower"))
 
 
 @query("op9_token_counts")

@@ -6,7 +6,7 @@ import math
 
 from cohortis.llm.line_dedup import MIN_WORDS
 from cohortis.llm.mixing import LARGE_SHARE
-from cohortis.llm.url_filter import MAX_RHO, MIN_RHO, SUFFIXES
+from cohortis.llm.url_filter import ADDRESS, MAX_RHO, MIN_RHO, PORT, SUFFIXES
 from cohortis.plans.registry import hash_sql
 
 VECTOR_DEDUP = """
@@ -80,7 +80,7 @@ SELECT c.*, (bad + k * prior) / (n + k) AS mean, n + k AS strength FROM {childre
 
 
 def url_filter(rules: list[tuple[str, str, str]], most_bad: float = 0.3, z: float = 1.645) -> str:
-    two, three = r"regexp_extract(host, '([^.]*\.)?[^.]*$')", r"regexp_extract(host, '([^.]*\.){0,2}[^.]*$')"
+    two, three = r"regexp_extract(name, '([^.]*\.)?[^.]*$')", r"regexp_extract(name, '([^.]*\.){0,2}[^.]*$')"
     listed = ", ".join(f"'{s}'" for s in SUFFIXES)
     longest = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for _, h, p in longest]
@@ -101,9 +101,10 @@ WITH p AS (
     ON lab.doc = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT)
 ), hosts AS (
   SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad,
-    CASE WHEN {two} IN ({listed}) THEN {three} ELSE {two} END AS domain,
-    CASE WHEN {two} IN ({listed}) THEN {two} ELSE regexp_extract(host, '[^.]*$') END AS suffix
-  FROM outcomes GROUP BY host
+    CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN {two} IN ({listed}) THEN {three} ELSE {two} END AS domain,
+    CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN {two} IN ({listed}) THEN {two}
+      ELSE regexp_extract(name, '[^.]*$') END AS suffix
+  FROM (SELECT *, regexp_replace(host, '{PORT}', '') AS name FROM outcomes) GROUP BY host, name
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
 ), tops AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad, (sum(sum(bad)) OVER () + 0.5) / (sum(sum(n)) OVER () + 1) AS prior
@@ -114,7 +115,8 @@ WITH p AS (
 ), hosts2 AS (SELECT hosts.*, domain_.mean AS prior FROM hosts JOIN domain_ ON domain_.domain = hosts.domain
 ), host_ AS ({_shrunk("hosts2")})
 SELECT page_id, parts.host AS host, path, {rule.replace("host", "parts.host")} AS rule,
-  {verdict.replace("host", "parts.host")} AS verdict
+  {verdict.replace("host", "parts.host")} AS verdict, round(mean, 6) AS bad_rate,
+  round(mean - {z} * sqrt(mean * (1 - mean) / (strength + 1)), 6) AS bad_lower
 FROM parts JOIN host_ ON host_.host = parts.host
 """
 

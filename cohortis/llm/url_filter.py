@@ -31,15 +31,21 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
+PORT, ADDRESS = r":[0-9]*$", r"^[0-9]+(\.[0-9]+){3}$"
+
+
 def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+    """The last label, or two if they are listed; a port is left out, an IPv4 address is its own suffix."""
+    name = F.regexp_replace(host, PORT, "")
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The registered domain: one label more than the suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+    name = F.regexp_replace(host, PORT, "")
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def _shrunk(children: DataFrame, parent: str) -> DataFrame:
@@ -71,13 +77,15 @@ def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, z
         F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
         .withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)))
     added = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    domains = hosts.groupBy("domain", "suffix").agg(*added)
-    tops = domains.groupBy("suffix").agg(*added)
+    domains = scratch.write("domains", hosts.groupBy("domain", "suffix").agg(*added))
+    tops = scratch.write("tops", domains.groupBy("suffix").agg(*added))
     overall = tops.agg((F.sum("bad") + 0.5).alias("b"), (F.sum("n") + 1.0).alias("t")).select(
         (F.col("b") / F.col("t")).alias("prior"))
-    tops = _shrunk(tops.join(F.broadcast(overall)), "prior").select("suffix", F.col("mean").alias("prior"))
-    domains = _shrunk(domains.join(tops, "suffix"), "prior").select("domain", F.col("mean").alias("prior"))
-    shrunk = _shrunk(hosts.join(domains, "domain"), "prior")
+    # A level is used twice, by its fit and by its rows, so each is written once.
+    tops = _shrunk(scratch.write("tops_prior", tops.join(F.broadcast(overall))), "prior").select("suffix", F.col("mean").alias("prior"))
+    placed = scratch.write("domains_prior", domains.join(tops, "suffix"))
+    domains = _shrunk(placed, "prior").select("domain", F.col("mean").alias("prior"))
+    shrunk = _shrunk(scratch.write("hosts_prior", hosts.join(domains, "domain")), "prior")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
     return shrunk.select("host", "n", "bad", "mean", (F.col("mean") - F.lit(z) * sd).alias("lower"))
 
@@ -88,15 +96,17 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
 
     ``bad`` marks labelled pages (1 bad, 0 good, null unlabelled). The verdict is that of the longest rule that fits;
     else a host is blocked if even the lower posterior bound of its share of bad pages is over ``most_bad``, so a host
-    with few labels is not blocked on chance. A null or broken url has an empty host and path and is judged as the
+    with few labels is not blocked on chance. Ports belong to the host, but not to its domain. A null or broken url has an empty host and path and is judged as the
     host ''. An empty table gives none.
     """
     host, path = url_parts(F.col(url))
-    parsed = pages.withColumns({"host": host, "path": path})
-    reputation = host_reputation(parsed.select("host", F.col(bad).cast("int").alias("bad")), suffixes, z).select(
+    made = ("host", "path", "rule", "verdict", "bad_rate", "bad_lower", "__host", "__rule")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in made]
+    parsed = pages.select(*kept, host.alias("host"), path.alias("path"), F.col(bad).cast("int").alias("__bad"))
+    reputation = host_reputation(parsed.select("host", F.col("__bad").alias("bad")), suffixes, z).select(
         F.col("host").alias("__host"), F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_lower"))
     found = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(reputation, F.col("host") == F.col("__host"), "left").drop("__host").withColumn("__rule", found)
+    judged = parsed.join(reputation, F.col("host") == F.col("__host"), "left").drop("__host", "__bad").withColumn("__rule", found)
     by_method = F.when(F.col("bad_lower") > most_bad, "block").otherwise("allow")
     return (judged.withColumns({"rule": F.col("__rule.rule"),
                                 "verdict": F.coalesce(F.col("__rule.verdict"), by_method)}).drop("__rule"))

@@ -127,7 +127,7 @@ def test_plan_meets_targets(spark, documents, share, most):
     for s in sizes:
         assert targets[s] == pytest.approx(want[s], rel=1e-12) and all(r["source_size"] == sizes[s] for r in rows if r["source"] == s)
         smallest = min((r["size"] for r in rows if r["source"] == s and r["size"]), default=0)
-        assert abs(taken[s] - targets[s]) <= 0.012 * targets[s] + smallest / 2 + 1  # sources of forty documents
+        assert abs(taken[s] - targets[s]) <= 0.02 * targets[s] + smallest / 2 + 1  # sources of forty documents
     assert all(0 <= r["copies"] <= -(-most // 1) for r in rows)
 
 

@@ -34,7 +34,7 @@ def test_stages_equal_brute_force(spark, documents):
         taken[r["source"]] += words[r["doc_id"]][1]
     targets = brute.mix_targets(dict(sizes), [5, 2, 1])
     smallest = {s: min(n for t, n in words.values() if t == s) for s in sizes}
-    assert all(abs(taken[s] - targets[s]) <= 0.012 * targets[s] + smallest[s] / 2 + 1 for s in sizes)
+    assert all(abs(taken[s] - targets[s]) <= 0.02 * targets[s] + smallest[s] / 2 + 1 for s in sizes)
     assert max(Counter(r["doc_id"] for r in seen["mixing"]).values()) <= 2
     copies = Counter(r["doc_id"] for r in seen["mixing"])
     texts = {r["doc_id"]: r["text"] for r in seen["mixing"]}

@@ -23,9 +23,10 @@ def test_parts_and_rules_equal_brute_force(spark):
 
 
 def test_domains(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("x.example.org",), ("org",), ("",)], "h string")
+    df = spark.createDataFrame([("a.b.co.uk",), ("x.example.org",), ("org",), ("",), ("x.example.org:8080",), ("10.0.0.1:80",)], "h string")
     got = df.select(url_filter.domain_of(df.h), url_filter.suffix_of(df.h)).collect()
-    assert [tuple(r) for r in got] == [("b.co.uk", "co.uk"), ("example.org", "org"), ("org", "org"), ("", "")]
+    assert [tuple(r) for r in got] == [("b.co.uk", "co.uk"), ("example.org", "org"), ("org", "org"), ("", ""), ("example.org", "org"),
+                                        ("10.0.0.1", "10.0.0.1")]
 
 
 def reputation(rows, z=1.645):
@@ -87,3 +88,27 @@ def test_url_query(spark):
         rule = brute.matching_rule(host, path, RULES)
         assert (r["host"], r["path"]) == (host, path) and r["rule"] == (rule and rule[0])
         assert r["verdict"] == (rule[1] if rule else r["verdict"])
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([("http://a.com/x", 0, 5, 6, 7, 8)], "url string, bad int, bad_lower int, __host int, bad_rate int, rule int")
+    got = url_filter.filter_urls(df, RULES)
+    assert got.columns == ["url", "bad", "host", "path", "bad_rate", "bad_lower", "rule", "verdict"]
+    assert got.first()["verdict"] == "allow" and got.first()["bad_lower"] < got.first()["bad_rate"] < 1
+
+
+def test_query_blocks_hosts_by_reputation(spark, tmp_path):
+    import oracle
+    from cohortis.llm import sql
+
+    pages = [(i, f"http://h{i % 3}.{'bad' if i % 6 < 3 else 'good'}.net:8080/p/{i}") for i in range(300)]
+    pages += [(900, "http://10.0.0.1/p/1"), (901, None), (902, "http://x.co.uk/p/2")]
+    labels = [(i, int(i % 6 >= 3 or i % 10 == 0), 0) for i in range(250)]
+    con = oracle.duckdb.connect()
+    for name, rows, schema in (("pages", pages, "page_id long, url string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries()["op8_url_filter"](spark, str(tmp_path))
+    assert oracle.compare("op8", got, con, sql.url_filter(RULES)) == []
+    verdicts = {(r["host"], r["verdict"]) for r in got.where("host like '%net:8080'").collect()}
+    assert verdicts == {(f"h{h}.{d}.net:8080", "block" if d == "bad" else "allow") for h in range(3) for d in ("bad", "good")}
