@@ -20,15 +20,16 @@ from pyspark.sql.window import Window
 from cohortis.llm.common import Scratch
 
 CAPACITY = 2048
-CACHE_ENTRIES = 1_000_000  # pre-tokens that a worker remembers, about
+CACHE_ENTRIES = 1_200_000  # pre-tokens that a worker remembers, about
 CACHE_LETTERS = 24  # letters of one, if they were equally long
 NEW_WORDS = 100  # words of one library call
-GROUP_LETTERS = 2_000_000  # text encoded at a time
+GROUP_LETTERS = 4_000_000  # text encoded at a time
 ROWS_PER_SALT = 1_000_000  # pieces of one length that a task ranks, about
 
 
 OPENING = "\u0120\u010a"  # how byte-level vocabularies write a space and a newline
 OTHER_SPACE = re.compile(r"[^\S \n]")
+ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"  # what OTHER_SPACE finds in ASCII
 
 
 class WordTable:
@@ -46,13 +47,6 @@ class WordTable:
         self.ids.frombytes(raw)
         self.letters += sum(map(len, words))
 
-    def get(self, word: str) -> bytes | None:
-        n = self.numbers.get(word)
-        return None if n is None else self.ids[self.ends[n]:self.ends[n + 1]].tobytes()
-
-    def numbers_of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-
     def gather(self, numbers: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The ids of consecutive texts of ``counts`` words each, given the numbers of their words."""
         ends = np.array(self.ends)
@@ -70,8 +64,7 @@ class CachedEncoder:
     Byte-level pre-tokens never reach over a single space or newline between two visible characters, so such a text is
     encoded word by word (a word with the space or newline before it): new words go through the library, many in one
     call, and the words of a batch of texts are told apart once and their ids gathered from the word table. Texts with other white
-    space next to a space or newline, or with a special token's string, are encoded whole. Two generations of the table
-    let the words in use outlast a full one.
+    space next to a space or newline, or with a special token's string, are encoded whole. A full table is begun anew.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -82,7 +75,7 @@ class CachedEncoder:
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space or newline
         self.opens[[i for token, i in vocabulary.items() if token[0] in OPENING]] = True
-        self.recent, self.older = WordTable(), WordTable()
+        self.table = WordTable()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -94,37 +87,41 @@ class CachedEncoder:
         ids = np.array(self.library.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) == len(units):
-            self.recent.add(words, ids.tobytes(), np.diff(np.append(starts, len(ids))))
+            self.table.add(words, ids.tobytes(), np.diff(np.append(starts, len(ids))))
         else:
             self._add_raw(words, self._library(units))
 
     def _add_raw(self, words: list[str], raw: list[bytes]) -> None:
-        self.recent.add(words, b"".join(raw), np.array(list(map(len, raw)), np.int64) // 4)
-
-    def _learn(self, words: list[str]) -> None:
-        """Puts the words into the recent table that it lacks."""
-        numbers = self.recent.numbers
-        missing = list(dict.fromkeys(w for w in words if w not in numbers))
-        known = list(map(self.older.get, missing))
-        self._add_raw([w for w, raw in zip(missing, known) if raw is not None], [raw for raw in known if raw is not None])
-        new = [w for w, raw in zip(missing, known) if raw is None]
-        first = [w for w in new if w[0] == " "]  # a text's first word, marked by the space that no other word has
-        self._add_raw(first, self._library([w[1:] for w in first]))
-        inner = [w for w in new if w[0] != " "]
-        for at in range(0, len(inner), NEW_WORDS):
-            self._add_new(inner[at:at + NEW_WORDS])
+        self.table.add(words, b"".join(raw), np.array(list(map(len, raw)), np.int64) // 4)
+
+    def _numbers(self, words: list[str], learn) -> np.ndarray:
+        """The numbers of different words; ``learn`` puts lists of new ones into the table."""
+        numbers = list(map(self.table.numbers.get, words))
+        gaps = [i for i, n in enumerate(numbers) if n is None]
+        first = len(self.table.numbers)
+        for at in range(0, len(gaps), NEW_WORDS):
+            learn([words[i] for i in gaps[at:at + NEW_WORDS]])
+        for n, i in enumerate(gaps, first):
+            numbers[i] = n
+        return np.array(numbers, np.int64)
+
+    def _add_first(self, words: list[str]) -> None:
+        """Encodes words that open a text, marked by a space before them that no other word has."""
+        self._add_raw(words, self._library([w[1:] for w in words]))
 
     def _splits(self, text: str) -> bool:
         """Every space and newline stands between two visible characters, and no special token's string is there."""
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace():
             return False
+        if text.isascii() and not any(c in text for c in ASCII_SPACE):
+            return not any(s in text for s in self.specials)
         if OTHER_SPACE.search(text) and any(w[0].isspace() or w[-1].isspace() for w in re.split("[ \n]", text)):
             return False
         return not any(s in text for s in self.specials)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.recent.numbers) > CACHE_ENTRIES // 2 or self.recent.letters > CACHE_ENTRIES // 2 * CACHE_LETTERS:
-            self.older, self.recent = self.recent, WordTable()
+        if len(self.table.numbers) > CACHE_ENTRIES or self.table.letters > CACHE_ENTRIES * CACHE_LETTERS:
+            self.table = WordTable()
         done, firsts, rests, split = [b""] * len(texts), [], [], []
         for i, text in enumerate(texts):
             if not text:
@@ -139,12 +136,11 @@ class CachedEncoder:
         if split:
             parts = pc.split_pattern(pa.array(rests, pa.string()), " ")
             coded = parts.flatten().dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            self._learn(distinct + firsts)
-            numbers = self.recent.numbers_of(distinct)[coded.indices.to_numpy()]
+            numbers = self._numbers(coded.dictionary.to_pylist(), self._add_new)[coded.indices.to_numpy()]
+            opening, places = np.unique(np.array(firsts, object), return_inverse=True)
             sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
-            numbers = np.insert(numbers, np.cumsum(sizes) - sizes, self.recent.numbers_of(firsts))
-            for i, raw in zip(split, self.recent.gather(numbers, sizes + 1)):
+            numbers = np.insert(numbers, np.cumsum(sizes) - sizes, self._numbers(opening.tolist(), self._add_first)[places])
+            for i, raw in zip(split, self.table.gather(numbers, sizes + 1)):
                 done[i] = raw
         return done
 
@@ -212,7 +208,6 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity
                         yield flush()
                         owner, start, total, ids, size = [], [], [], [], 0
             yield flush()
-        encoder.older = WordTable()  # an idle worker keeps half of the words at most
 
     return source.mapInArrow(scan, schema)
 
