@@ -94,6 +94,24 @@ def profile_continuous(spark, sf):
     return rounded(clean.model_table(V.cases(spark, sf), P.CONTINUOUS), "age_init")
 
 
+ONE_COHORT = "BUILDING"
+
+
+def write_by_cohort(spark, sf) -> str:
+    """The folder of the model table, one sub-folder a cohort."""
+    path = _scratch(spark, "model-table")
+    T.write_table(clean.model_table(V.cases(spark, sf), P.CONTINUOUS), path, "parquet", partition_by=["cohort"])
+    return path
+
+
+@query("partitioned_model_table", f"select * from ({_profile_sql(P.CONTINUOUS, True)}) where cohort = '{ONE_COHORT}'")
+def partitioned_model_table(spark, sf):
+    """One cohort of the written model table; the other cohorts' files are not read."""
+    table = T.read_model_table(spark, write_by_cohort(spark, sf), P.CONTINUOUS, "parquet")
+    one = table.where(F.col("cohort") == ONE_COHORT)
+    return rounded(one.select(*[F.col(f"`{c}`") for c in P.CONTINUOUS.columns]), "age_init")
+
+
 # ---- filters
 
 @query("drop_sentinel_rows", WITH + f"select row_id, lesion from cases where {LESION_KEEP}")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from cohortis.models import classifiers as cl
 from cohortis.models import grids as G
 from cohortis.models import tuning as tn
 from cohortis.models.attention import AttentionClassifier
+from cohortis.models.discriminant import LinearDiscriminant, class_moments as moments_of
 from cohortis.models.encoders import MinMaxColumns, OneHotColumns, ZScoreColumns
 from cohortis.models.ensembles import boosted_fit, staged_grid_search
 from cohortis.operators import clean
@@ -215,6 +216,35 @@ def grid_gbt_staged(spark, sf):
     return staged_grid_search(train, boosted_fit(G.boosted()), settings, STAGED_ROUNDS, folds=1)
 
 
+@query("class_moments", f"with {LONG}, p as (select cast(v.label % 2 as double) as label, a.j as i, b.j as j, a.v as x, b.v as y "
+       "from xl a join xl b on a.vec_id = b.vec_id join v on v.vec_id = a.vec_id) "
+       "select label, cast(i as int) as i, cast(j as int) as j, cast(count(*) as double) as n, "
+       f"{r('avg(x)')} as mean_i, {r('covar_pop(x, y)')} as cov from p group by label, i, j")
+def class_moments(spark, sf):
+    """What discriminant analysis needs of the embeddings, label = parity."""
+    df = V.vectors(spark, sf).select((F.col("label") % 2).alias("label"), array_to_vector("x").alias("features"))
+    return rounded(moments_of(df), "mean_i", "cov")
+
+
+@query("fit_discriminant")
+def fit_discriminant(spark, sf):
+    train, test = _parts(study(spark, sf))
+    return _report(cl.positive_score(LinearDiscriminant().fit(train), test), "discriminant")
+
+
+@query("fitted_bakeoff")
+def fitted_bakeoff(spark, sf):
+    """Seven families fitted on each fold's other rows, ranked by their mean balanced accuracy on it."""
+    train, _ = _parts(study(spark, sf))
+    families = {
+        "discriminant": LinearDiscriminant(), "naive_bayes": NaiveBayes(modelType="multinomial"),
+        "logistic": G.logistic(regParam=1e-4), "linear_svm": G.linear_svm(maxIter=20),
+        "tree": DecisionTreeClassifier(maxDepth=5), "forest": G.forest(numTrees=10, maxDepth=8),
+        "boosted": G.boosted(maxIter=5, maxDepth=4),
+    }
+    return tn.bake_off(tn.cross_validate(train, families, folds=FOLDS))
+
+
 @query("pca_features")
 def pca_features(spark, sf):
     data = study(spark, sf)

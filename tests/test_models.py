@@ -1,7 +1,9 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from cohortis.models import encoders as en
 from cohortis.models import ensembles as en_ens
 from cohortis.models import grids as G
 from cohortis.models import tuning as tn
+from cohortis.models.discriminant import LinearDiscriminant
 from cohortis.operators import evaluate as ev
 from cohortis.operators import interact as it
 from cohortis.operators import split as sp
+from cohortis.plans import cleaning
 from cohortis.session import ensure_checkpoint_dir
 
 
@@ -275,8 +279,40 @@ def test_hard_vote_needs_more_than_half(spark):
     assert {r["k"]: r["vote"] for r in cl.hard_vote(df, ["k"]).collect()} == {1: 0, 2: 1}
 
 
-def test_scoring_cost(blobs):
-    assert cl.scoring_cost(blobs, G.logistic().fit(blobs)) > 0
+def test_scoring_costs_count_rows_in_the_scoring_job(blobs):
+    got = {r["model"]: r for r in cl.scoring_costs(blobs, {"lg": G.logistic().fit(blobs), "lda": LinearDiscriminant().fit(blobs)}).collect()}
+    assert set(got) == {"lg", "lda"} and all(r["rows"] == 300 and r["seconds_per_row"] > 0 for r in got.values())
+
+
+def test_discriminant_equals_the_closed_form(blobs, tmp_path):
+    rows = blobs.collect()
+    x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
+    means = [x[y == c].mean(0) for c in (0, 1)]
+    pooled = sum(((x[y == c] - means[c]).T @ (x[y == c] - means[c]) for c in (0, 1))) / len(x)
+    slopes = np.linalg.solve(pooled, means[1] - means[0])
+    model = LinearDiscriminant().fit(blobs.repartition(5))
+    assert model.getOrDefault("coefficients") == pytest.approx(slopes.tolist())
+    assert model.getOrDefault("intercept") == pytest.approx(-0.5 * (means[0] + means[1]) @ slopes)
+    again = reloaded(model, tmp_path / "lda")
+    got = scores(cl.positive_score(again, blobs))
+    margin = x @ slopes + model.getOrDefault("intercept")
+    assert got == pytest.approx({r["id"]: 1 / (1 + np.exp(-m)) for r, m in zip(rows, margin)})
+    assert auc(cl.positive_score(model, blobs)) > 0.9
+
+
+def test_discriminant_of_constant_features_and_one_class(blobs):
+    flat = blobs.withColumn("features", array_to_vector(F.concat("x", F.array(F.lit(3.0)), "x")))
+    assert auc(cl.positive_score(LinearDiscriminant().fit(flat), flat)) > 0.9
+    with pytest.raises(ValueError, match="classes"):
+        LinearDiscriminant().fit(blobs.where("label = 1"))
+
+
+def test_only_one_cohort_of_the_partitioned_table_is_read(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables not present")
+    plan = cleaning.partitioned_model_table(spark, sf)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cohort" in plan and "(cohort" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_checkpoints_go_to_one_folder(spark):
