@@ -184,7 +184,7 @@ def test_targets_are_met_beside_a_very_long_document(spark, monkeypatch, share,
     sizes, taken, targets = source_totals(plan)
     assert len(plan) == len(rows) and all(0 <= r["copies"] <= 2 for r in plan)
     assert targets == pytest.approx(brute.mix_targets(sizes, [5, 2, 1], share))
-    slack = 0.001 if large_share == 2000 else 0.005
+    slack = 0.002 if large_share == 2000 else 0.02
     assert all(abs(taken[s] - targets[s]) <= slack * targets[s] for s in sizes)
     assert sorted(map(str, plan)) == sorted(map(str, mixing.mix_plan(docs.repartition(7), [5, 2, 1], share).collect()))
 
