@@ -61,14 +61,12 @@ def _best(query_ids: np.ndarray, qx: np.ndarray, ids: np.ndarray, px: np.ndarray
     return pd.concat(found) if found else pd.DataFrame({"query": [], "neighbour": [], "distance": []})
 
 
-def _visit_others(blocked: DataFrame, own: DataFrame, pivots, cells, blocks_of, k: int, block_rows: int) -> DataFrame:
-    """Partial answers from every block, other than a query's own, that the bounds cannot rule out."""
-    bound = own.groupBy("query").agg(
-        F.when(F.count(F.lit(1)) > k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound")
-    )
-    asked = blocked.where("ask").select("g", "cell", "block", F.col("id").alias("query"), "v").join(bound, "query")
+def _visit(asked: DataFrame, blocked: DataFrame, pivots, cells, blocks_of, k: int, block_rows: int) -> DataFrame:
+    """Partial answers (k + 1 best) from every block, other than a query's own, that the bounds cannot rule out.
 
-    # Round 2: visit every other block that may hold something nearer than the bound.
+    ``asked`` has g, query, v, the query's own cell and block (-1: none) and ``bound``, a distance within which k + 1
+    points are known to lie (infinite: not known). Queries of a group without points get no rows.
+    """
     routed_schema = T.StructType([
         T.StructField("g", blocked.schema["g"].dataType), T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType()),
         T.StructField("query", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
@@ -76,7 +74,9 @@ def _visit_others(blocked: DataFrame, own: DataFrame, pivots, cells, blocks_of,
     def route(batches):
         for pdf in batches:
             for g, part in pdf.groupby("g", dropna=False):
-                here = cells[None if pd.isna(g) else g]
+                here = cells.get(None if pd.isna(g) else g)
+                if here is None:
+                    continue
                 number = np.array([c[0] for c in here])
                 count = np.array([c[1] for c in here])
                 lo, hi = np.array([c[2] for c in here]), np.array([c[3] for c in here])
@@ -119,39 +119,20 @@ def _visit_others(blocked: DataFrame, own: DataFrame, pivots, cells, blocks_of,
     return chunked.groupBy(*where).cogroup(spread.groupBy(*where)).applyInPandas(across, PAIRS)
 
 
-def nearest_in_group(
-    df: DataFrame, group: str, key: str, vector: str, k: int, queries: DataFrame | None = None,
-    points_per_cell: int = POINTS_PER_CELL, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(group, id, rank, neighbour, distance): the k nearest other rows of the same group, exact.
+def _index(data: DataFrame, points_per_cell: int, block_rows: int):
+    """The points (g, id, v, c, ask) in cells and blocks, the pivots, each group's cells and each cell's blocks.
 
-    ``key`` must be a unique integer. ``queries`` (a frame with ``key``) restricts the rows asked for.
+    ``c`` numbers the copies of a vector, 1 first; ``data`` must not be empty.
     """
-    spark = df.sparkSession
-    points = df.select(F.col(group).alias("g"), F.col(key).cast("bigint").alias("id"),
-                       F.col(vector).cast("array<double>").alias("v"))
-    # Copies: one query per distinct vector (its lowest id), and the k+1 lowest ids as data.
-    copies = W.partitionBy("g", "v").orderBy("id")
-    data = points.withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k + 1)
-    rows = points
-    if queries is not None:
-        rows = points.join(queries.select(F.col(key).cast("bigint").alias("id")), "id", "left_semi")
-        needed = rows.select("g", "v", F.lit(True).alias("needed")).distinct()
-        data = join_on(data, needed, ["g", "v"], "left")
-    else:
-        data = data.withColumn("needed", F.lit(True))
-    data = data.select("g", "id", "v", "c", F.expr("c = 1 and coalesce(needed, false)").alias("ask"))
-    data = reliable_checkpoint(data)
+    spark = data.sparkSession
     distinct_n = data.where("c = 1").count()
-    if distinct_n == 0:
-        return spark.createDataFrame([], "group int, id bigint, rank int, neighbour bigint, distance double")
     n_groups = data.select("g").distinct().count()
     n_pivots = max(1, min(MAX_PIVOTS, MAX_STATS // n_groups, -(-distinct_n // points_per_cell)))
     pivot_rows = (
         data.where("c = 1").orderBy(keyed_hash(0, "pivot", "id"), "id").limit(n_pivots).select("v").collect()
     )
     pivots = np.array([row[0] for row in pivot_rows], dtype=float)
-    group_type = points.schema["g"].dataType
+    group_type = data.schema["g"].dataType
 
     def place(batches):
         for pdf in batches:
@@ -179,6 +160,35 @@ def nearest_in_group(
         "block", F.pmod(keyed_hash(0, "block", "id"), F.col("blocks")).cast("int")
     )
     blocked = reliable_checkpoint(blocked.select("g", "cell", "block", "id", "v", "ask"))
+    return blocked, pivots, cells, blocks_of
+
+
+def nearest_in_group(
+    df: DataFrame, group: str, key: str, vector: str, k: int, queries: DataFrame | None = None,
+    points_per_cell: int = POINTS_PER_CELL, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(group, id, rank, neighbour, distance): the k nearest other rows of the same group, exact.
+
+    ``key`` must be a unique integer. ``queries`` (a frame with ``key``) restricts the rows asked for.
+    """
+    spark = df.sparkSession
+    points = df.select(F.col(group).alias("g"), F.col(key).cast("bigint").alias("id"),
+                       F.col(vector).cast("array<double>").alias("v"))
+    # Copies: one query per distinct vector (its lowest id), and the k+1 lowest ids as data.
+    copies = W.partitionBy("g", "v").orderBy("id")
+    data = points.withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k + 1)
+    rows = points
+    if queries is not None:
+        rows = points.join(queries.select(F.col(key).cast("bigint").alias("id")), "id", "left_semi")
+        needed = rows.select("g", "v", F.lit(True).alias("needed")).distinct()
+        data = join_on(data, needed, ["g", "v"], "left")
+    else:
+        data = data.withColumn("needed", F.lit(True))
+    data = data.select("g", "id", "v", "c", F.expr("c = 1 and coalesce(needed, false)").alias("ask"))
+    data = reliable_checkpoint(data)
+    if data.isEmpty():
+        return spark.createDataFrame([], "group int, id bigint, rank int, neighbour bigint, distance double")
+    blocked, pivots, cells, blocks_of = _index(data, points_per_cell, block_rows)
 
     # Round 1: each block against itself. Gives partial answers and an upper bound for its queries.
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +203,11 @@ def nearest_in_group(
     for (g, _), n in blocks_of.items():
         per_group[g] = per_group.get(g, 0) + n
     if max(per_group.values()) > 1:
-        found = own.unionByName(_visit_others(blocked, own, pivots, cells, blocks_of, k, block_rows))
+        # Round 2: visit every other block that may hold something nearer than the bound.
+        bound = own.groupBy("query").agg(
+            F.when(F.count(F.lit(1)) > k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
+        asked = blocked.where("ask").select("g", "cell", "block", F.col("id").alias("query"), "v").join(bound, "query")
+        found = own.unionByName(_visit(asked, blocked, pivots, cells, blocks_of, k, block_rows))
     best = W.partitionBy("query").orderBy("distance", "neighbour")
     merged = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
 
@@ -207,6 +221,38 @@ def nearest_in_group(
         F.col("n.distance").alias("distance"))
 
 
+def nearest_across(
+    queries: DataFrame, points: DataFrame, key: str, vector: str, k: int,
+    points_per_cell: int = POINTS_PER_CELL, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, rank, neighbour, distance): the k nearest rows of ``points`` to each row of ``queries``, exact.
+
+    For rows a model has not seen: the two tables need not share any, and a query is never its own neighbour unless
+    ``points`` holds it. Both have ``key``, a unique integer, and ``vector``. Points are indexed as in
+    ``nearest_in_group``; equal queries are searched once; every query goes to the blocks its bounds leave open. Rows
+    with a null vector take no part; fewer points than k give as many neighbours; no points give no rows.
+    """
+    spark = queries.sparkSession
+    names = [F.lit(0).alias("g"), F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    copies = W.partitionBy("v").orderBy("id")
+    data = points.select(*names).where("v is not null").withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k)
+    data = reliable_checkpoint(data.withColumn("ask", F.lit(False)))
+    rows = queries.select(*names).where("v is not null")
+    if data.isEmpty():
+        return spark.createDataFrame([], "id bigint, rank int, neighbour bigint, distance double")
+    blocked, pivots, cells, blocks_of = _index(data, points_per_cell, block_rows)
+    heads = reliable_checkpoint(rows.groupBy("g", "v").agg(F.min("id").alias("query")))
+    asked = heads.select("g", F.lit(-1).alias("cell"), F.lit(-1).alias("block"), "query", "v",
+                         F.lit(float("inf")).alias("bound"))
+    found = _visit(asked, blocked, pivots, cells, blocks_of, k, block_rows)
+    best = W.partitionBy("query").orderBy("distance", "neighbour")
+    merged = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    lists = merged.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    answered = join_on(rows, heads.join(lists, "query").select("v", "near"), ["v"])
+    return answered.select("id", F.posexplode("near").alias("p", "n")).select(
+        "id", (F.col("p") + 1).alias("rank"), F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance"))
+
+
 def vote(pairs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """Majority label of each row's neighbours; a tie goes to the lower label."""
     named = pairs.join(labels.select(F.col(key).alias("neighbour"), F.col(label).alias("__l")), "neighbour")

@@ -188,11 +188,12 @@ def running_totals(
     return out
 
 
-def expand_counts(df: DataFrame, count: str, index: str, block: int = 100_000) -> DataFrame:
+def expand_counts(df: DataFrame, count: str, index: str, block: int = 100_000, by: tuple[str, ...] = ()) -> DataFrame:
     """Repeat each row ``count`` times with ``index`` 0..count-1.
 
     A count of any size is spread: blocks first (one short row each), shuffled
-    over the cluster, then the block's own indices.
+    over the cluster, then the block's own indices. Where rows are many, ``by`` names the
+    columns that tell them apart, so that their first blocks are spread too.
     """
     blocks = df.where(F.col(count) > 0).withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / F.lit(block)).cast("bigint")))
@@ -200,7 +201,7 @@ def expand_counts(df: DataFrame, count: str, index: str, block: int = 100_000) -
     first = F.col("__block") * block
     last = F.least(first + block, F.col(count)) - 1
     return (
-        blocks.repartition("__block")
+        blocks.repartition(*by, "__block")
         .withColumn(index, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
         .drop("__block")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortis.functions.encode import treatment_indicators
+from cohortis.functions.keyed import keyed_hash
 from cohortis.operators import bootstrap as bs
 from cohortis.operators import neighbours as nn
 from cohortis.operators import resample as rs
@@ -169,6 +170,120 @@ def knn_vote(spark, sf):
     return nn.vote(pairs, df, "vec_id", "label")
 
 
+_NEAR_MINORITY = ("mpairs as (select a.vec_id, b.vec_id as neighbour, b.x as ox, a.cell, round(list_distance(a.x, b.x), 9) as d "
+                  "from pool a join pool b on a.cell = b.cell and a.vec_id <> b.vec_id), nb as (select vec_id, "
+                  "list(neighbour order by rank) as ids, list(ox order by rank) as xs from (select *, row_number() over "
+                  "(partition by vec_id order by d, neighbour) as rank from mpairs) where rank <= 5 group by vec_id)")
+# ``alloc`` (vec_id, n) and ``pool`` (vec_id, x, cell) are given
+_MADE = (f"{_NEAR_MINORITY}, picks as (select vec_id, unnest(range(n)) as d from alloc where n > 0), "
+         f"chosen as (select p.vec_id, d, o.x, ids, xs, ({hash_sql(SEED, 'smote-neighbour', 'p.vec_id', 'd')} % 2147483648) % len(ids) + 1 as spot, "
+         f"cast({hash_sql(SEED, 'smote-gap', 'p.vec_id', 'd')} as double) / 1152921504606846976e0 as gap "
+         "from picks p join nb using (vec_id) join pool o on o.vec_id = p.vec_id), "
+         "flat as (select vec_id, cast(d + 1 as bigint) as copy_no, ids[spot] as neighbour, gap, unnest(range(len(x))) as pos, "
+         "unnest(x) as a, unnest(xs[spot]) as b from chosen)")
+
+
+def _rows_sql(label: int) -> str:
+    return ("select vec_id, label, cast(0 as bigint) as copy_no, cast(null as bigint) as neighbour, "
+            f"cast(unnest(range(len(x))) as int) as pos, {r('unnest(x)')} as value from v union all "
+            f"select vec_id, {label}, copy_no, neighbour, cast(pos as int), {r('a + gap * (b - a)')} from flat")
+
+
+def _flat(made):
+    flat = made.select("vec_id", "label", "copy_no", "neighbour", F.posexplode("x").alias("pos", "value"))
+    return rounded(flat, "value")
+
+
+def _deficit_sql(label: int) -> str:
+    return (f"g as (select max(n) - max(n) filter (label = {label}) as deficit from "
+            "(select label, count(*) as n from v group by label))")
+
+
+def _drawn_sql(purpose: str) -> str:
+    """``alloc`` from ``seeds`` (cell, vec_id) and ``totals`` (cell, n)."""
+    return (f"numbered as (select *, row_number() over (partition by cell order by {hash_sql(SEED, 'row', 'vec_id')}, vec_id) - 1 as rn, "
+            "count(*) over (partition by cell) as m from seeds), sizes as (select distinct cell, m from numbered), "
+            "spread as (select cell, m, unnest(range(n)) as d from totals join sizes using (cell)), "
+            f"met as (select cell, {hash_sql(SEED, purpose, 'cell', 'd')} % m as rn from spread), "
+            "alloc as (select vec_id, count(*) as n from met join numbered using (cell, rn) group by vec_id)")
+
+
+@query("borderline_smote", f"with {VEC_CTE}, {near_cte(10, False)}, mix as (select vec_id, count(*) filter (other <> 3) as o, "
+       "count(*) as n from near where label = 3 group by vec_id), seeds as (select 0 as cell, vec_id from mix where o * 2 >= n and o < n), "
+       f"{_deficit_sql(3)}, totals as (select 0 as cell, deficit as n from g), {_drawn_sql('borderline-row')}, "
+       f"pool as (select vec_id, x, 0 as cell from v where label = 3), {_MADE} {_rows_sql(3)}")
+def borderline_smote(spark, sf):
+    return _flat(rs.borderline_smote(V.vectors(spark, sf), "label", "vec_id", 3))
+
+
+@query("adasyn_rows", f"with {VEC_CTE}, {near_cte(5, False)}, mix as (select vec_id, count(*) filter (other <> 5) / count(*) as share "
+       f"from near where label = 5 group by vec_id), {_deficit_sql(5)}, alloc as (select vec_id, "
+       "cast(round(share / nullif(sum(share) over (), 0) * deficit) as bigint) as n from mix, g), "
+       f"pool as (select vec_id, x, 0 as cell from v where label = 5), {_MADE} {_rows_sql(5)}")
+def adasyn_rows(spark, sf):
+    return _flat(rs.adasyn(V.vectors(spark, sf), "label", "vec_id", 5))
+
+
+@query("svm_smote_seeds", f"with {VEC_CTE}, {near_cte(10, False)}, mix as (select vec_id, count(*) filter (other <> 2) as other_class, "
+       "count(*) as n from near where label = 2 group by vec_id) select vec_id, other_class, "
+       "case when other_class * 2 >= n then 1e0 else -0.5e0 end as step from mix join v using (vec_id) where 8 * v.x[1] <= 1 and other_class < n")
+def svm_smote_seeds(spark, sf):
+    scored = V.vectors(spark, sf).withColumn("margin", F.col("x")[0] * 8)
+    return rs.margin_seeds(scored, "label", "vec_id", 2, "margin")
+
+
+@query("svm_smote")
+def svm_smote(spark, sf):
+    return _flat(rs.svm_smote(V.vectors(spark, sf), "label", "vec_id", 2))
+
+
+_CELLS = (f"c as (select *, {hash_sql(SEED, 'cell', 'vec_id')} % 4 as cell from v), {_deficit_sql(4)}, "
+          "shape as (select cell, count(*) filter (label = 4) as minority_rows, count(*) filter (label <> 4) as other_rows from c group by cell), "
+          "parts as (select cell, unnest(range(len(x))) as i, unnest(x) as value from c where label = 4), "
+          "moments as (select cell, i, var_samp(value) as v from parts group by cell, i), "
+          "spread_of as (select cell, 2 * sum(v) as d2 from moments group by cell), "
+          "kept as (select cell, minority_rows, other_rows, d2 / minority_rows as sparsity from shape join spread_of using (cell) "
+          "where minority_rows >= 2 and minority_rows / (minority_rows + other_rows) >= (select sum(minority_rows) / sum(minority_rows + other_rows) from shape)), "
+          "cell_totals as (select kept.*, cast(round(sparsity / sum(sparsity) over () * deficit) as bigint) as n from kept, g)")
+
+
+def _celled(spark, sf):
+    return V.vectors(spark, sf).withColumn("cell", keyed_hash(SEED, "cell", "vec_id") % 4)
+
+
+@query("kmeans_smote_cells", f"with {VEC_CTE}, {_CELLS} select cell, minority_rows, other_rows, {r('sparsity')} as sparsity, "
+       "n as n_synthetic from cell_totals")
+def kmeans_smote_cells(spark, sf):
+    return rounded(rs.cell_allocation(_celled(spark, sf), "label", 4, "cell"), "sparsity")
+
+
+@query("kmeans_smote_rows", f"with {VEC_CTE}, {_CELLS}, totals as (select cell, n from cell_totals), "
+       "pool as (select vec_id, x, cell from c join totals using (cell) where label = 4), seeds as (select cell, vec_id from pool), "
+       f"{_drawn_sql('cell-row')}, {_MADE} {_rows_sql(4)}")
+def kmeans_smote_rows(spark, sf):
+    return _flat(rs.kmeans_smote(_celled(spark, sf), "label", "vec_id", 4, cell="cell"))
+
+
+@query("kmeans_smote")
+def kmeans_smote(spark, sf):
+    return _flat(rs.kmeans_smote(V.vectors(spark, sf), "label", "vec_id", 4))
+
+
+@query("knn_unseen", f"with {VEC_CTE}, h as (select *, {hash_sql(SEED, 'unseen', 'vec_id')} % 4 = 0 as held from v), "
+       "pairs as (select a.vec_id, b.vec_id as neighbour, b.label as other, round(list_distance(a.x, b.x), 9) as d "
+       "from h a join h b on a.held and not b.held), near as (select * from (select *, row_number() over "
+       "(partition by vec_id order by d, neighbour) as rank from pairs) where rank <= 5), "
+       "c as (select vec_id, other, count(*) as votes from near group by 1, 2) "
+       "select vec_id, other as predicted, votes from (select *, row_number() over (partition by vec_id order by votes desc, other) "
+       "as rn from c) where rn = 1")
+def knn_unseen(spark, sf):
+    """A quarter of the rows, by keyed hash, is held out and classified by the rest."""
+    df = V.vectors(spark, sf)
+    held = keyed_hash(SEED, "unseen", "vec_id") % 4 == 0
+    pairs = nn.nearest_across(df.where(held), df.where(~held), "vec_id", "x", 5)
+    return nn.vote(pairs, df, "vec_id", "label")
+
+
 # ---- bootstrap
 
 REPS = 20

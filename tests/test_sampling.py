@@ -145,3 +145,103 @@ def test_vote_ties_go_to_the_lower_label(spark):
     labels = spark.createDataFrame([(10, 4), (11, 2)], "id long, label int")
     r = nn.vote(pairs, labels, "id", "label").first()
     assert (r["predicted"], r["votes"]) == (2, 1)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "copies"])
+def test_unseen_rows_find_their_neighbours_in_the_other_table(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    if kind == "copies":
+        x[::3] = 1.0  # a third of both tables is one vector
+    train = [(i, x[i].tolist()) for i in range(200)]
+    # ids overlap with those of the training table, and a null vector takes no part
+    asked = [(i - 150, x[i].tolist()) for i in range(200, 300)]
+    schema = "id long, x array<double>"
+    got = nn.nearest_across(spark.createDataFrame([*asked, (999, None)], schema),
+                            spark.createDataFrame([*train, (999, None)], schema), "id", "x", 5,
+                            points_per_cell=15, block_rows=8)
+    want = {}
+    for i, v in asked:
+        d = sorted((round(float(np.sqrt(((np.array(v) - np.array(y)) ** 2).sum())), 9), j) for j, y in train)
+        want[i] = [j for _, j in d[:5]]
+    assert near_lists(got) == want
+
+
+def test_unseen_rows_with_few_or_no_points(spark):
+    schema = "id long, x array<double>"
+    asked = spark.createDataFrame([(1, [0.0]), (2, [9.0])], schema)
+    points = spark.createDataFrame([(1, [1.0]), (7, [8.0])], schema)
+    assert near_lists(nn.nearest_across(asked, points, "id", "x", 5)) == {1: [1, 7], 2: [7, 1]}
+    assert nn.nearest_across(asked, points.limit(0), "id", "x", 5).count() == 0
+    assert nn.nearest_across(asked.limit(0), points, "id", "x", 5).count() == 0
+
+
+def clumps(spark, seed=4):
+    """Class 0 around the origin, a smaller class 1 that overlaps its edge, keys from 0."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=(120, 3)), rng.normal(size=(40, 3)) + [1.5, 0, 0]])
+    return spark.createDataFrame([(i, int(i >= 120), v.tolist()) for i, v in enumerate(x)], "id long, g int, x array<double>")
+
+
+def made_of(df):
+    return [r for r in df.collect() if r["copy_no"] > 0]
+
+
+def on_line(row, points, low, high):
+    """Whether the made row is seed + t (neighbour - seed) with low <= t <= high."""
+    a, b = np.array(points[row["id"]]), np.array(points[row["neighbour"]])
+    t = float(np.dot(np.array(row["x"]) - a, b - a) / np.dot(b - a, b - a))
+    return np.allclose(a + t * (b - a), row["x"]) and low - 1e-9 <= t <= high + 1e-9
+
+
+def test_variants_balance_the_class_and_stay_on_their_lines(spark):
+    df = clumps(spark)
+    points = {r["id"]: r["x"] for r in df.collect()}
+    seeds = {r["id"]: r["danger"] for r in rs.borderline_seeds(df, "g", "id", 1).collect()}
+    made = made_of(rs.borderline_smote(df, "g", "id", 1))
+    assert len(made) == 80 and all(r["g"] == 1 and r["neighbour"] >= 120 and on_line(r, points, 0, 1) for r in made)
+    assert {r["id"] for r in made} <= {i for i, danger in seeds.items() if danger}
+    want = {r["id"]: r["n_synthetic"] for r in rs.adaptive_allocation(df, "g", "id", 1).collect() if r["n_synthetic"]}
+    made = made_of(rs.adasyn(df, "g", "id", 1))
+    assert Counter(r["id"] for r in made) == want and all(on_line(r, points, 0, 1) for r in made)
+    assert sorted((r["id"], r["copy_no"]) for r in made) == sorted((i, c + 1) for i, n in want.items() for c in range(n))
+
+
+def test_margin_seeds_extrapolate_among_their_own(spark):
+    df = clumps(spark)
+    points = {r["id"]: r["x"] for r in df.collect()}
+    scored = rs.svm_margins(df, "g", 1)
+    margin = {r["id"]: r["margin"] for r in scored.collect()}
+    assert np.mean([margin[i] > 0 for i in range(120, 160)]) > 0.3 > np.mean([margin[i] > 0 for i in range(120)])
+    step = {r["id"]: r["step"] for r in rs.margin_seeds(scored, "g", "id", 1, "margin").collect()}
+    assert step and all(i >= 120 and margin[i] <= 1 for i in step) and set(step.values()) == {1.0, -0.5}
+    made = made_of(rs.svm_smote(df, "g", "id", 1))
+    assert len(made) == 80 and {r["id"] for r in made} <= set(step)
+    assert all(on_line(r, points, *((0, 1) if step[r["id"]] > 0 else (-0.5, 0))) for r in made)
+
+
+def test_cells_get_rows_by_sparsity(spark):
+    df = clumps(spark).withColumn("cell", (F.col("id") % 3).cast("int"))
+    x = {r["id"]: (r["g"], r["cell"], np.array(r["x"])) for r in df.collect()}
+    got = {r["cell"]: r for r in rs.cell_allocation(df, "g", 1, "cell", min_share=0.0).collect()}
+    sparsity = {}
+    for c in range(3):
+        own = [v for g, cell, v in x.values() if g and cell == c]
+        pairs = [((a - b) ** 2).sum() for i, a in enumerate(own) for b in own[:i]]
+        sparsity[c] = np.mean(pairs) / len(own)
+        assert got[c]["sparsity"] == pytest.approx(sparsity[c]) and got[c]["minority_rows"] == len(own)
+    for c in range(3):
+        assert got[c]["n_synthetic"] == round(80 * sparsity[c] / sum(sparsity.values()))
+    made = made_of(rs.kmeans_smote(df, "g", "id", 1, cell="cell", min_share=0.0))
+    assert Counter(x[r["id"]][1] for r in made) == {c: r["n_synthetic"] for c, r in got.items()}
+    assert all(x[r["id"]][1] == x[r["neighbour"]][1] for r in made)
+    fitted = made_of(rs.kmeans_smote(df, "g", "id", 1, cells=3))
+    assert abs(len(fitted) - 80) <= 3
+
+
+def test_variants_without_seeds_make_no_rows(spark):
+    rows = [(i, 0, [float(i)]) for i in range(20)] + [(100, 1, [500.0])]
+    df = spark.createDataFrame(rows, "id long, g int, x array<double>")
+    for made in (rs.borderline_smote(df, "g", "id", 1), rs.adasyn(df, "g", "id", 1), rs.kmeans_smote(df, "g", "id", 1, cells=2),
+                 rs.borderline_smote(df, "g", "id", 7)):
+        assert made.count() == 21
