@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortis.llm.common import Scratch, components
+from cohortis.llm.common import Scratch, components, running_total
 
 SEED = 42
 FLUSH = 1 << 18  # shingle hashes turned into bits at a time
@@ -125,34 +125,71 @@ def simhash_groups(docs: DataFrame, width: int = 3, distance: int = 3, text: str
 
     Rows with one fingerprint are one node, the smallest id among them, before anything is compared; nodes within
     ``distance`` bits are linked, and ``component_id`` is the smallest id that links reach. Null, empty and blank texts
-    have fingerprint 0 and are linked like any other. Rows with a null id take the component of their fingerprint, but
-    a fingerprint that only such rows have is not linked to others and its component is null. Rows that repeat an id
-    keep a row each, and their fingerprints' nodes become one component if the id is the smallest of both.
+    have fingerprint 0 and are linked like any other. Rows with a null id are linked like any other too, and links lead
+    through them; a component in which no row has an id has a null ``component_id``. Rows that repeat an id keep a row
+    each, and their fingerprints' nodes become one component if the id is the smallest of both.
+    """
+    rows, labels = _labelled(docs, width, distance, text, key)
+    named = F.when(~F.col("nameless"), F.col("component")).alias("component_id")
+    return (rows.join(labels, rows.fp == labels.f, "left")
+            .select(F.col("id").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named))
+
+
+def _labelled(docs: DataFrame, width: int, distance: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row, and (f, component, nameless) of each fingerprint.
+
+    A fingerprint that only rows without an id have is a node with a number above all ids, so a component's smallest
+    node is an id if it holds one; ``nameless`` marks the others. The numbers go on from the largest id.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write("rows", with_fingerprint(docs, width, text, key))
-    nodes = scratch.write("nodes", rows.groupBy("fp").agg(F.min("id").alias("node")).filter("node is not null"))
+    prints = scratch.write("prints", rows.groupBy("fp").agg(F.min("id").alias("node")))
+    nodes, bare = prints.filter("node is not null"), prints.filter("node is null")
+    top = None
+    if not bare.isEmpty():
+        top = rows.agg(F.max("id")).first()[0] or 0
+        numbered = running_total(scratch, "bare", bare.select("fp", F.lit(1).alias("one")), ["fp"], "one", "at")
+        nodes = nodes.union(numbered.select("fp", F.lit(top) + 1 + F.col("at")))
+        nodes = scratch.write("nodes", nodes)
     pairs = scratch.write("pairs", near_pairs(nodes, distance))
     linked = components(scratch, pairs).withColumnRenamed("node", "n")
+    component = F.coalesce("component", "node")
+    nameless = F.lit(False) if top is None else component > top
     labels = nodes.join(linked, nodes.node == linked.n, "left").select(
-        F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
-    return (rows.join(labels, rows.fp == labels.f, "left")
-            .select(F.col("id").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    "component_id"))
+        F.col("fp").alias("f"), component.alias("component"), nameless.alias("nameless"))
+    return rows, labels
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, text: str = "text",
                          key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows with a null id stay.
+    """The rows of ``docs`` whose id is the smallest of its component; one row of a component without any id.
 
-    Rows that repeat an id are one document: those with one text are reduced to one row.
+    Rows that repeat an id are one document: those with one text are reduced to one row. A row with a null id goes if
+    its component holds an id; of a component without ids the row with the smallest hash of its text stays.
     """
-    groups = simhash_groups(docs, width, distance, text, key)
-    losers = groups.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__id")).distinct()
+    rows, labels = _labelled(docs, width, distance, text, key)
+    groups = rows.join(labels, rows.fp == labels.f, "left")
+    losers = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__id")).distinct()
     kept = docs.join(losers.hint("shuffle_hash"), F.col(key) == F.col("__id"), "left_anti")
-    repeated = groups.groupBy(F.col(key).alias("__id")).count().filter("count > 1 and __id is not null").select("__id")
-    if repeated.isEmpty():
+    repeated = groups.groupBy(F.col("id").alias("__id")).count().filter("count > 1 and __id is not null").select("__id")
+    if not repeated.isEmpty():
+        again = F.col(key) == F.col("__id")
+        kept = kept.join(repeated, again, "left_anti").unionByName(
+            kept.join(repeated, again, "left_semi").dropDuplicates([key, text]))
+    if rows.filter("id is null").isEmpty():
         return kept
-    again = F.col(key) == F.col("__id")
-    return kept.join(repeated, again, "left_anti").unionByName(
-        kept.join(repeated, again, "left_semi").dropDuplicates([key, text]))
+    return kept.filter(F.col(key).isNotNull()).unionByName(_one_of_each(docs, labels, width, text, key))
+
+
+def _one_of_each(docs: DataFrame, labels: DataFrame, width: int, text: str, key: str) -> DataFrame:
+    """One row of each component without ids, from the rows of ``docs`` without an id."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array(fingerprints(batch.column(0).field(text).to_pylist(), width), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["row", "fp"])
+
+    source = docs.filter(F.col(key).isNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = source.select("row", F.lit(0).cast("long").alias("fp")).schema
+    bare = source.mapInArrow(scan, schema).join(labels.filter("nameless"), F.col("fp") == F.col("f"))
+    first = bare.groupBy("component").agg(F.min_by("row", F.xxhash64(F.col("row").getField(text))).alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import brute
 import numpy as np
 import pytest
@@ -51,10 +53,29 @@ def test_groups_and_survivors(texts, no_texts):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [12]
     kept = simhash.drop_near_duplicates(texts)
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
-    assert kept.columns == texts.columns and ids.count(8) == 1 and None in ids and not {2, 4, 5, 9} & set(ids)
+    assert kept.columns == texts.columns and ids.count(8) == 1 and not {None, 2, 4, 5, 9} & set(ids)
     assert simhash.simhash_groups(no_texts).count() == 0 and simhash.drop_near_duplicates(no_texts).count() == 0
 
 
+def test_rows_without_an_id_are_linked(spark):
+    words = [f"w{i}" for i in range(4000)]
+    chain = [" ".join([*words, *(["tail"] * n)]) for n in (0, 6, 12, 18, 24)]
+    rows = [(7, chain[0], "a"), (None, chain[1], "b"), (3, chain[2], "c"), (None, "nobody has an id here", "d"),
+            (None, "nobody has an id here", "e"), (None, "Nobody has an ID here", "f"), (None, "alone", "g"), (50, "else", "h"),
+            (None, None, "i")]
+    named = [(100 + i if r[0] is None else r[0], r[1]) for i, r in enumerate(rows)]
+    want = brute.simhash(named)
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_groups(df).collect())
+    ids = {r[0] for r in rows if r[0] is not None}
+    assert got == Counter((i if i in ids else None, want[i][0], want[i][1] if want[i][1] in ids else None) for i, _ in named)
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    stays = {(r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()}
+    assert stays == {(i if i in ids else None, (t or "").lower()) for i, t in named if want[i][1] == i}
+    assert kept.count() == len({c for _, c in want.values()})
+
+
 def test_simhash_query(spark, documents):
     want = brute.simhash([(r["doc_id"], r["text"]) for r in documents.collect()])
     got = queries()["op4_simhash"](spark, SF).collect()
