@@ -12,6 +12,8 @@ among the k nearest.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +30,9 @@ MAX_STATS = 65_536  # (group, cell) statistics held by the driver
 BLOCK_ROWS = 8_000
 DIGITS = 9  # distances are compared at this precision, then by id
 SLACK = 1e-8  # covers that rounding in the pruning bounds
-TILE = 256
+TILE = 64
+HELD_CELLS = 1_000_000  # distances that a task holds at a time while it places or routes rows
+ROUTED_ROWS = 8_192  # routed rows that leave a task at a time, each with its vector
 PAIRS = T.StructType([T.StructField("query", T.LongType()), T.StructField("neighbour", T.LongType()),
                       T.StructField("distance", T.DoubleType())])
 
@@ -47,20 +51,89 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest pivot, distance to it) of each row, in tiles of rows."""
+    cell, radius = np.empty(len(x), np.int32), np.empty(len(x))
+    step = max(1, HELD_CELLS // len(pivots))
+    for i in range(0, len(x), step):
+        d = _distances(x[i:i + step], pivots)
+        cell[i:i + step], radius[i:i + step] = d.argmin(1), d.min(1)
+    return cell, radius
+
+
+def _candidates(qx: np.ndarray, px: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) places of all pairs that may be among a query's k nearest.
+
+    Squared distances come from one matrix product; the k-th is widened by what such a product may err and by what
+    rounded distances may differ, so no pair is lost. Values that are not finite rule nothing out.
+    """
+    own = np.einsum("ik,ik->i", qx, qx)
+    near = (-2 * qx) @ px.T
+    near += norms
+    near += own[:, None]
+    if len(px) <= k or not np.isfinite(near.sum()):
+        return np.nonzero(np.ones(near.shape, bool))
+    err = 4 * (px.shape[1] + 4) * np.finfo(float).eps * (own + norms.max())
+    kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+    limit = (np.sqrt(np.maximum(kth + err, 0)) + 2 * 10.0 ** -DIGITS) ** 2 + err
+    return np.divmod(np.flatnonzero(near <= limit[:, None]), len(px))
+
+
 def _best(query_ids: np.ndarray, qx: np.ndarray, ids: np.ndarray, px: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best (rounded distance, id) of each query among the given points."""
+    """The k best (rounded distance, id) of each query among the given points, by direct differences."""
     found = []
+    norms = np.einsum("ik,ik->i", px, px)
     for i in range(0, len(query_ids), TILE):
-        d = np.round(_distances(qx[i:i + TILE], px), DIGITS)
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        rows = np.arange(len(d))[:, None]
-        found.append(pd.DataFrame({
-            "query": np.repeat(query_ids[i:i + TILE], order.shape[1]),
-            "neighbour": ids[order].ravel(), "distance": d[rows, order].ravel(),
-        }))
+        tile = qx[i:i + TILE]
+        q, p = _candidates(tile, px, norms, k)
+        d = np.empty(len(q))
+        step = max(1, 2_000_000 // max(1, px.shape[1]))
+        for j in range(0, len(q), step):
+            diff = tile[q[j:j + step]] - px[p[j:j + step]]
+            d[j:j + step] = np.sqrt(np.einsum("ik,ik->i", diff, diff))
+        d = np.round(d, DIGITS)
+        order = np.lexsort((ids[p], d, q))
+        q, p, d = q[order], p[order], d[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append(pd.DataFrame({"query": query_ids[i:i + TILE][q[kept]], "neighbour": ids[p[kept]], "distance": d[kept]}))
     return pd.concat(found) if found else pd.DataFrame({"query": [], "neighbour": [], "distance": []})
 
 
+def _routes(part: pd.DataFrame, pivots: np.ndarray, here: list[tuple], blocks: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The queries of ``part``, of one group, once for each block that the bounds leave open, other than their own.
+
+    ``here`` has the (number, points, least and greatest radius) of the group's cells, ``blocks`` their numbers of
+    blocks. A query may go to every block, so rows are put out in pieces of ROUTED_ROWS.
+    """
+    number = np.array([c[0] for c in here])
+    count = np.array([c[1] for c in here])
+    lo, hi = np.array([c[2] for c in here]), np.array([c[3] for c in here])
+    step = max(1, HELD_CELLS // len(here))
+    for at in range(0, len(part), step):
+        rows = part.iloc[at:at + step]
+        d = _distances(_matrix(rows["v"]), pivots[number])
+        # k+1 points are certain within the first cells that together hold as many
+        reach = d + hi
+        order = reach.argsort(1)
+        enough = (np.cumsum(count[order], 1) >= k + 1)
+        first = np.where(enough.any(1), enough.argmax(1), len(here) - 1)
+        certain = np.where(enough.any(1), reach[np.arange(len(d)), order[np.arange(len(d)), first]], np.inf)
+        limit = np.minimum(rows["bound"].to_numpy(), certain) + SLACK
+        q, c = np.nonzero((d - hi <= limit[:, None]) & (lo - d <= limit[:, None]))
+        ends = np.cumsum(blocks[c])
+        for low in range(0, int(ends[-1]) if len(ends) else 0, ROUTED_ROWS):
+            spot = np.arange(low, min(low + ROUTED_ROWS, int(ends[-1])))
+            pair = np.searchsorted(ends, spot, side="right")
+            block = spot - (ends[pair] - blocks[c[pair]])
+            source = rows.iloc[q[pair]]
+            out = pd.DataFrame({"g": source["g"].to_numpy(), "cell": number[c[pair]].astype(np.int32),
+                                "block": block.astype(np.int32), "query": source["query"].to_numpy(),
+                                "v": source["v"].to_numpy()})
+            home = (out["cell"].to_numpy() == source["cell"].to_numpy()) & (
+                out["block"].to_numpy() == source["block"].to_numpy())
+            yield out[~home]
+
+
 def _visit(asked: DataFrame, blocked: DataFrame, pivots, cells, blocks_of, k: int, block_rows: int) -> DataFrame:
     """Partial answers (k + 1 best) from every block, other than a query's own, that the bounds cannot rule out.
 
@@ -77,29 +150,8 @@ def _visit(asked: DataFrame, blocked: DataFrame, pivots, cells, blocks_of, k: in
                 here = cells.get(None if pd.isna(g) else g)
                 if here is None:
                     continue
-                number = np.array([c[0] for c in here])
-                count = np.array([c[1] for c in here])
-                lo, hi = np.array([c[2] for c in here]), np.array([c[3] for c in here])
-                d = _distances(_matrix(part["v"]), pivots[number])
-                # k+1 points are certain within the first cells that together hold as many
-                reach = d + hi
-                order = reach.argsort(1)
-                enough = (np.cumsum(count[order], 1) >= k + 1)
-                first = np.where(enough.any(1), enough.argmax(1), len(here) - 1)
-                certain = np.where(enough.any(1), reach[np.arange(len(d)), order[np.arange(len(d)), first]], np.inf)
-                limit = np.minimum(part["bound"].to_numpy(), certain) + SLACK
-                visit = (d - hi <= limit[:, None]) & (lo - d <= limit[:, None])
-                q, c = np.nonzero(visit)
-                n_blocks = np.array([blocks_of[(None if pd.isna(g) else g, int(x))] for x in number])[c]
-                q, c = np.repeat(q, n_blocks), np.repeat(c, n_blocks)
-                block = np.concatenate([np.arange(b) for b in n_blocks]) if len(n_blocks) else np.zeros(0, int)
-                source = part.iloc[q]
-                out = pd.DataFrame({"g": source["g"].to_numpy(), "cell": number[c].astype(np.int32),
-                                    "block": block.astype(np.int32), "query": source["query"].to_numpy(),
-                                    "v": source["v"].to_numpy()})
-                home = (out["cell"].to_numpy() == source["cell"].to_numpy()) & (
-                    out["block"].to_numpy() == source["block"].to_numpy())
-                yield out[~home]
+                blocks = np.array([blocks_of[(None if pd.isna(g) else g, int(c[0]))] for c in here])
+                yield from _routes(part, pivots, here, blocks, k)
 
     routed = reliable_checkpoint(asked.mapInPandas(route, routed_schema))
     load = routed.groupBy("g", "cell", "block").agg(
@@ -136,9 +188,7 @@ def _index(data: DataFrame, points_per_cell: int, block_rows: int):
 
     def place(batches):
         for pdf in batches:
-            d = _distances(_matrix(pdf["v"]), pivots)
-            pdf["cell"] = d.argmin(1).astype(np.int32)
-            pdf["radius"] = d.min(1)
+            pdf["cell"], pdf["radius"] = _nearest_pivot(_matrix(pdf["v"]), pivots)
             yield pdf
 
     placed_schema = T.StructType([*data.schema.fields, T.StructField("cell", T.IntegerType()),

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -115,6 +116,37 @@ def test_neighbours_equal_brute_force_with_many_cells_and_blocks(spark, kind):
     assert near_lists(part) == {i: v for i, v in brute(rows, 5).items() if i % 7 == 0}
 
 
+def test_routed_rows_leave_in_pieces_however_many_blocks_a_query_visits():
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(300, 3))
+    part = pd.DataFrame({"g": 0, "cell": -1, "block": -1, "query": np.arange(200), "v": list(rng.normal(size=(200, 3))),
+                         "bound": np.inf})
+    here = [(i, 1, 0.0, 100.0) for i in range(300)]  # wide cells: the bounds rule out nothing
+    blocks = np.arange(300) % 3 + 1
+    pieces = list(nn._routes(part, pivots, here, blocks, 5))
+    assert max(map(len, pieces)) <= nn.ROUTED_ROWS < sum(map(len, pieces)) == 200 * blocks.sum()
+    rows = pd.concat(pieces)
+    assert len(rows.drop_duplicates(["query", "cell", "block"])) == len(rows) and (rows["block"] < blocks[rows["cell"]]).all()
+    home = part.assign(cell=7, block=1)
+    assert sum(map(len, nn._routes(home, pivots, here, blocks, 5))) == 200 * (blocks.sum() - 1)
+
+
+@pytest.mark.parametrize("kind", ["far", "ties", "odd"])
+def test_matrix_products_lose_no_neighbour(kind):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(150, 5)) + (1e5 if kind == "far" else 0)
+    if kind == "ties":
+        points = np.round(points)
+    if kind == "odd":
+        points[3, 2], points[9, 0] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        got = nn._best(np.arange(150), points, np.arange(150), points, 4)
+        d = np.round(nn._distances(points, points), nn.DIGITS)
+    order = np.lexsort((np.broadcast_to(np.arange(150), d.shape), d), axis=1)[:, :4]
+    assert (got["neighbour"].to_numpy().reshape(150, 4) == order).all()
+    assert np.array_equal(got["distance"].to_numpy().reshape(150, 4), np.take_along_axis(d, order, 1), equal_nan=True)
+
+
 def test_small_group_has_fewer_neighbours(spark):
     df = spark.createDataFrame([(1, 0, [0.0]), (2, 0, [1.0]), (3, 1, [5.0])], "id long, g int, x array<double>")
     assert near_lists(nn.nearest_in_group(df, "g", "id", "x", 5)) == {1: [2], 2: [1]}
