@@ -47,6 +47,18 @@ def test_attention_block_shapes(spark, sub_sample, causal):
     assert z == [0.0] * 20
 
 
+def test_maps_leave_a_task_in_pieces(spark):
+    x = np.random.default_rng(2).normal(size=(3000, 64))
+    maps = D.vector_function(lambda m: D.softmax_maps(m, m), "array<array<double>>")
+    pieces = list(maps.func(iter([D.lists(x), D.lists(x[:0]), D.lists(x[:5])])))
+    assert sum(map(len, pieces)) == 3005 and max(map(len, pieces)) * 64 * 64 <= D.MAP_VALUES
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:600])], "id long, x array<double>").coalesce(1)
+    both = df.select("id", it.interaction_map(F.col("x")).alias("a"), it.interaction_map(F.col("x"), causal=True).alias("b"))
+    for row in both.where("id % 100 = 99").collect():
+        v = x[row["id"]][None]
+        assert np.allclose(row["a"], D.softmax_maps(v, v)[0]) and np.allclose(row["b"], D.softmax_maps(v, v, True)[0])
+
+
 def test_maps_are_stable_for_large_values(spark):
     df = spark.createDataFrame([([1000.0, -1000.0, 3.0],)], "x array<double>")
     m = df.select(it.interaction_map(F.col("x"))).first()[0]
