@@ -1,4 +1,5 @@
 import os
+import threading
 
 import numpy as np
 import pytest
@@ -215,6 +216,45 @@ def test_staged_grid_search(blobs):
     assert best["n_rounds"] in (1, 4)
 
 
+class Counted:
+    """An estimator that notes how many fits run at once, and on how many rows."""
+
+    def __init__(self, base):
+        self.base, self.fits, self.running, self.most = base, [], 0, 0
+        self.lock = threading.Lock()
+
+    def getParam(self, name):
+        return self.base.getParam(name)
+
+    def fit(self, df, params):
+        with self.lock:
+            self.running += 1
+            self.most = max(self.most, self.running)
+            self.fits.append(df.count())
+        model = self.base.fit(df, params)
+        with self.lock:
+            self.running -= 1
+        return model
+
+
+def test_large_tables_are_fitted_one_candidate_at_a_time(blobs, monkeypatch):
+    assert [tn.fits_at_once(n, 9, 4) for n in (0, 10, 1_500_000, 3_000_000, 10**9)] == [4, 4, 2, 1, 1]
+    settings = [{"maxDepth": d} for d in (1, 2, 3)]
+    whole = tn.grid_search(blobs, G.forest(numTrees=2), settings, folds=2)[1]
+    monkeypatch.setattr(tn, "ROWS_SIDE_BY_SIDE", 100)
+    counted = Counted(G.forest(numTrees=2))
+    one = tn.grid_search(blobs, counted, settings, folds=2)[1]
+    assert counted.most == 1 and len(counted.fits) == 7 and counted.fits[-1] == 300
+    assert one.collect() == whole.collect()
+
+
+def test_cross_validation_fits_each_family_once_a_fold(blobs):
+    families = {"a": Counted(G.forest(numTrees=2)), "b": Counted(G.logistic())}
+    table = tn.cross_validate(blobs, families, folds=3)
+    assert table.columns == ["model", "fold", "score"] and table.count() == 6
+    assert all(len(c.fits) == 3 and max(c.fits) < 300 for c in families.values())
+
+
 def test_grid_search_picks_the_best_mean(blobs):
     settings = [{"maxDepth": 0}, {"maxDepth": 3}]
     model, table = tn.grid_search(blobs, G.forest(numTrees=5), settings, folds=3)
