@@ -6,7 +6,7 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,6 +24,7 @@ CACHE_ENTRIES = 1_200_000  # pre-tokens that a worker remembers, about
 CACHE_LETTERS = 24  # letters of one, if they were equally long
 NEW_WORDS = 100  # words of one library call
 GROUP_LETTERS = 4_000_000  # text encoded at a time
+SLICE_ROWS = 64  # texts turned into Python strings at a time
 ROWS_PER_SALT = 1_000_000  # pieces of one length that a task ranks, about
 
 
@@ -49,8 +50,9 @@ class WordTable:
 
     def gather(self, numbers: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The ids of consecutive texts of ``counts`` words each, given the numbers of their words."""
-        ends = np.array(self.ends)
-        starts, sizes = ends[numbers], np.diff(ends)[numbers]
+        ends = np.frombuffer(self.ends, np.int64)  # no copy: the table may be much larger than the texts
+        starts = ends[numbers]
+        sizes = ends[numbers + 1] - starts
         upto = np.concatenate([[0], np.cumsum(sizes)])
         places = np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])
         raw = np.frombuffer(self.ids, np.uint32)[places].astype("<u4").tobytes()
@@ -148,7 +150,14 @@ class CachedEncoder:
         return self.encode_all([text])[0]
 
 
-def text_groups(texts: list[str], letters: int) -> Iterator[list[str]]:
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """The strings of a column, SLICE_ROWS in Python at a time; null is empty."""
+    for at in range(0, len(column), SLICE_ROWS):
+        for value in column.slice(at, SLICE_ROWS).to_pylist():
+            yield value or ""
+
+
+def text_groups(texts: Iterable[str], letters: int) -> Iterator[list[str]]:
     """Consecutive texts, so many that a group has about ``letters`` letters."""
     group, held = [], 0
     for text in texts:
@@ -195,7 +204,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity
                            pa.array(ids, pa.binary())]
                 return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-            groups = text_groups([value or "" for value in batch.column(1).to_pylist()], GROUP_LETTERS)
+            groups = text_groups(texts_of(batch.column(1)), GROUP_LETTERS)
             for i, raw in enumerate(chain.from_iterable(map(encoder.encode_all, groups))):
                 whole = raw + end
                 for at in range(0, len(whole), step):

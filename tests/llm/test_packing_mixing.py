@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,3 +198,23 @@ def test_mixing_query_equals_its_sql_with_few_large_documents(spark, monkeypatch
     monkeypatch.setattr(sql, "LARGE_SHARE", 50)
     got = queries()["op10_mixing"](spark, SF)
     assert oracle.compare("op10_mixing", got, oracle.connect(SF), sql.mixing([5, 2, 1])) == []
+
+
+def test_texts_become_strings_in_slices(monkeypatch):
+    held = []
+
+    class Column:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, n):
+            held.append(n)
+            return pa.array(self.values[at:at + n], pa.string())
+
+    values = [None if i % 7 == 0 else f"text {i}" for i in range(150)]
+    assert list(packing.texts_of(Column(values))) == [v or "" for v in values]
+    assert held == [packing.SLICE_ROWS] * 3
+    assert list(packing.texts_of(pa.array(values)[5:9])) == [v or "" for v in values[5:9]]
