@@ -186,6 +186,17 @@ def test_staged_scores_equal_separate_fits(blobs):
         assert scores(part.score(blobs)) == pytest.approx(want, abs=1e-12)
 
 
+def test_trees_are_walked_in_batches(blobs):
+    model = G.boosted(maxIter=5, maxDepth=6, stepSize=0.3).fit(blobs)
+    gap = blobs.withColumn("features", array_to_vector(F.transform(
+        "x", lambda v, i: F.when(i == F.col("id") % 5, float("nan")).otherwise(v))))
+    frame = en_ens.Ensemble.of(model).score(gap)
+    assert scores(frame) == pytest.approx(scores(cl.positive_score(model, gap)), abs=1e-12)
+    assert scores(en_ens.Ensemble.of(model).score(gap.limit(0))) == {}
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan and "from_json" not in plan
+
+
 def test_two_thousand_trees_have_a_plan_of_constant_depth(blobs):
     trees = G.boosted(maxIter=4, maxDepth=3).fit(blobs)
     nodes = [en_ens.tree_nodes(t) for t in trees.trees]
