@@ -299,6 +299,28 @@ def test_platt_scores_are_monotone_in_the_margin(blobs):
     assert scored.agg(F.min("score"), F.max("score")).where("`min(score)` > 0 and `max(score)` < 1").count() == 1
 
 
+def test_platt_keeps_margins_and_no_wide_rows(blobs, monkeypatch):
+    seen = []
+
+    class Fits:
+        def fit(self, df):
+            seen.append((df.count(), df.storageLevel.useMemory))
+            return G.linear_svm(maxIter=5).fit(df)
+
+    plans = []
+
+    class Line(cl.LogisticRegression):
+        def fit(self, df):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(df)
+
+    monkeypatch.setattr(cl, "LogisticRegression", Line)
+    model = cl.platt(blobs, Fits(), folds=3)
+    assert not any(kept for _, kept in seen[:3]) and max(n for n, _ in seen[:3]) < 300 and seen[3][0] == 300
+    assert "InMemoryRelation [label" in plans[0] and "features" not in plans[0].split("InMemoryRelation")[1].split("]")[0]
+    assert model.slope > 0
+
+
 def test_fourier_features_approach_the_kernel(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(6, 3))
