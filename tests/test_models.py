@@ -21,7 +21,7 @@ from cohortis.operators import evaluate as ev
 from cohortis.operators import interact as it
 from cohortis.operators import split as sp
 from cohortis.plans import cleaning
-from cohortis.session import ensure_checkpoint_dir
+from cohortis.session import ensure_checkpoint_dir, spread
 
 
 @pytest.fixture(scope="module")
@@ -402,3 +402,16 @@ def test_only_one_cohort_of_the_partitioned_table_is_read(spark):
 
 def test_checkpoints_go_to_one_folder(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_spread_fills_the_cores_evenly(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = 400 * cores
+    uneven = spark.range(few, numPartitions=cores).union(spark.range(few, few + 8, numPartitions=1))
+    assert uneven.rdd.getNumPartitions() == cores + 1
+    even = spread(uneven, "id", cores + 1)
+    sizes = [r["count"] for r in even.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == even.rdd.getNumPartitions() == 2 * cores and max(sizes) < 1.5 * min(sizes)
+    assert sorted(r.id for r in even.collect()) == list(range(few + 8))
+    assert spread(uneven, "id", 1).rdd.getNumPartitions() == cores
+    assert spread(uneven, "id", 100 * cores).rdd.getNumPartitions() == cores + 1
