@@ -20,7 +20,7 @@ from cohortis.models.discriminant import LinearDiscriminant
 from cohortis.operators import evaluate as ev
 from cohortis.operators import interact as it
 from cohortis.operators import split as sp
-from cohortis.plans import cleaning
+from cohortis.plans import cleaning, modelling
 from cohortis.session import ensure_checkpoint_dir, spread
 
 
@@ -292,6 +292,43 @@ def test_grids_are_clamped_and_distinct():
     assert len(G.boosted_settings(G.BOOSTED_WIDE_GRID)) == 720
 
 
+class Fitted(Exception):
+    pass
+
+
+@pytest.fixture
+def asked(blobs, monkeypatch):
+    """The estimators that registered fits begin to fit, the settings of grids and the numbers of folds."""
+    seen = {"fits": [], "folds": [], "settings": []}
+
+    def fit(estimator, df, params=None):
+        seen["fits"].append(estimator)
+        raise Fitted
+
+    def grid_search(df, estimator, settings, folds):
+        seen["settings"] = settings
+        seen["folds"].append(folds)
+        fit(estimator, df)
+
+    def study(spark, sf, folds=modelling.FOLDS):
+        seen["folds"].append(folds)
+        # as many numbers a row as the study's
+        wide = F.array_repeat(F.col("x")[0], len(modelling.P.CONTINUOUS.features))
+        return blobs.select("id", "label", "fold", array_to_vector(wide).alias("features"), F.lit("train").alias("split"))
+
+    monkeypatch.setattr(modelling, "study", study)
+    monkeypatch.setattr(modelling.tn, "grid_search", grid_search)
+    for kind in (G.LinearSVC, G.MultilayerPerceptronClassifier):
+        monkeypatch.setattr(kind, "fit", fit)
+    return seen
+
+
+def test_fit_mlp_makes_all_passes_of_the_study(spark, asked):
+    with pytest.raises(Fitted):
+        modelling.fit_mlp(spark, "")
+    assert asked["fits"][0].getMaxIter() == 200 and asked["fits"][0].getLayers()[1:] == [200, 200, 2]
+
+
 def test_platt_scores_are_monotone_in_the_margin(blobs):
     model = cl.platt(blobs, G.linear_svm(maxIter=10), folds=3)
     scored = model.score(blobs)
