@@ -329,6 +329,23 @@ def test_fit_mlp_makes_all_passes_of_the_study(spark, asked):
     assert asked["fits"][0].getMaxIter() == 200 and asked["fits"][0].getLayers()[1:] == [200, 200, 2]
 
 
+def test_grid_linear_svm_fits_every_candidate_to_convergence(spark, asked):
+    with pytest.raises(Fitted):
+        modelling.grid_linear_svm(spark, "")
+    assert asked["fits"][0].getMaxIter() == G.UNTIL_CONVERGED
+    assert asked["folds"] == [5, 5] and asked["settings"] == G.linear_svm_settings(240)
+
+
+def test_linear_svm_ends_by_its_tolerance(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 6)) * [1, 3, 10, 30, 0.1, 0.01]
+    y = (x[:, 0] + x[:, 1] / 3 + x[:, 5] * 100 + rng.normal(size=400) > 0).astype(float)
+    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, y)], ["label", "features"]).coalesce(1).persist()
+    short, whole = G.linear_svm(maxIter=20, regParam=1e-4).fit(df).summary(), G.linear_svm(regParam=1e-4).fit(df).summary()
+    assert short.totalIterations == 20 < whole.totalIterations < 2000
+    assert whole.objectiveHistory[-1] < short.objectiveHistory[-1]
+
+
 def test_platt_scores_are_monotone_in_the_margin(blobs):
     model = cl.platt(blobs, G.linear_svm(maxIter=10), folds=3)
     scored = model.score(blobs)
