@@ -336,6 +336,12 @@ def test_grid_linear_svm_fits_every_candidate_to_convergence(spark, asked):
     assert asked["folds"] == [5, 5] and asked["settings"] == G.linear_svm_settings(240)
 
 
+def test_fit_rbf_svm_fits_to_convergence(spark, asked):
+    with pytest.raises(Fitted):
+        modelling.fit_rbf_svm(spark, "")
+    assert asked["fits"][0].getMaxIter() == G.UNTIL_CONVERGED and asked["folds"] == [5]
+
+
 def test_linear_svm_ends_by_its_tolerance(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 6)) * [1, 3, 10, 30, 0.1, 0.01]
