@@ -329,6 +329,13 @@ def test_fit_mlp_makes_all_passes_of_the_study(spark, asked):
     assert asked["fits"][0].getMaxIter() == 200 and asked["fits"][0].getLayers()[1:] == [200, 200, 2]
 
 
+def test_grid_mlp_has_the_studys_candidates(spark, asked):
+    with pytest.raises(Fitted):
+        modelling.grid_mlp(spark, "")
+    assert asked["settings"] == G.mlp_settings(len(modelling.P.CONTINUOUS.features)) and asked["folds"] == [5, 5]
+    assert {s["maxIter"] for s in asked["settings"]} == {2000, 10000} and len(asked["settings"]) == 20
+
+
 def test_grid_linear_svm_fits_every_candidate_to_convergence(spark, asked):
     with pytest.raises(Fitted):
         modelling.grid_linear_svm(spark, "")
