@@ -96,7 +96,7 @@ def near_pairs(prints: DataFrame, distance: int) -> DataFrame:
     segments is looked up in the same segment's table by an equi-join, and matches are verified on all 64 bits in the
     join itself, so the join puts out links alone. A segment's ball has 1 + bits entries at radius 1: the probes are a
     fixed number for each fingerprint. Every probe finds a pair in both directions; one is kept. Values that many
-    distinct fingerprints share are split by the join's skew handling.
+    distinct fingerprints share are split by the join's skew handling; neither side is ever broadcast.
     """
     entries, probes = [], []
     for i, ((shift, bits), radius) in enumerate(zip(*segments(distance))):
@@ -111,7 +111,8 @@ def near_pairs(prints: DataFrame, distance: int) -> DataFrame:
     table = table.select("a", "fa", F.col("e.t").alias("t"), F.col("e.v").alias("v"))
     probe = probe.select("b", "fb", F.col("e.t").alias("t"), F.col("e.v").alias("v"))
     close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
-    met = table.join(probe, (table.t == probe.t) & (table.v == probe.v) & (F.col("a") < F.col("b")) & close)
+    # Spark takes the probes to be as small as the fingerprints they are made from and would broadcast them.
+    met = table.hint("merge").join(probe.hint("merge"), (table.t == probe.t) & (table.v == probe.v) & (F.col("a") < F.col("b")) & close)
     return met.select("a", "b").distinct()
 
 

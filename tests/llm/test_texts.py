@@ -41,6 +41,12 @@ def test_near_pairs_equal_brute_force(spark, distance):
     assert {tuple(r) for r in simhash.near_pairs(df, distance).collect()} == want
 
 
+def test_probes_are_never_broadcast(spark):
+    df = spark.range(50).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"))
+    plan = simhash.near_pairs(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_groups_and_survivors(texts, no_texts):
     got = simhash.simhash_groups(texts).collect()
     assert len(got) == len(TEXTS)
