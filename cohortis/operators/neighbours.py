@@ -2,9 +2,11 @@
 
 The method is the published two-round kNN join: points go to the cell of their
 nearest pivot; the distances between a query and the pivots bound the distance
-to any point of a cell, so most cells are never visited. Points of a cell are
-further hashed into blocks of bounded size, and the queries sent to a block into
-chunks of bounded size, so no task holds more than one block and one chunk.
+to any point of a cell, so most cells are never visited. Points of a large cell are
+further hashed into blocks of bounded size, small cells share one, and the queries sent to a block
+go in chunks of bounded size, so no task holds more than one block and one chunk. What is shuffled where
+the bounds rule out little is a copy of every query for each block and of every block for each chunk: the
+larger the blocks, the less.
 Copies of one vector are reduced to one query and to the k+1 lowest ids before
 any of this: among equal distances the lower id wins, so no other copy can be
 among the k nearest.
@@ -27,7 +29,9 @@ from cohortis.session import join_on, reliable_checkpoint
 POINTS_PER_CELL = 4_000
 MAX_PIVOTS = 2_048
 MAX_STATS = 65_536  # (group, cell) statistics held by the driver
-BLOCK_ROWS = 8_000
+BLOCK_ROWS = 64_000  # at most; smaller tables are cut into BLOCKS, so that all cores have work
+BLOCK_NUMBERS = 4_000_000  # of a block's vectors: fewer rows a block where vectors are long
+BLOCKS, SMALL_BLOCK = 16, 8_000
 DIGITS = 9  # distances are compared at this precision, then by id
 SLACK = 1e-8  # covers that rounding in the pruning bounds
 TILE = 64
@@ -37,6 +41,11 @@ PAIRS = T.StructType([T.StructField("query", T.LongType()), T.StructField("neigh
                       T.StructField("distance", T.DoubleType())])
 
 
+def rows_a_block(n: int, width: int, most: int) -> int:
+    """Rows of a block of ``n`` vectors of ``width`` numbers: about a BLOCKS-th of them, as far as a task may hold."""
+    return min(most, max(SMALL_BLOCK, -(-n // BLOCKS)), max(1, BLOCK_NUMBERS // max(1, width)))
+
+
 def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(float) if len(col) else np.zeros((0, 0))
 
@@ -102,10 +111,12 @@ def _best(query_ids: np.ndarray, qx: np.ndarray, ids: np.ndarray, px: np.ndarray
 def _routes(part: pd.DataFrame, pivots: np.ndarray, here: list[tuple], blocks: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
     """The queries of ``part``, of one group, once for each block that the bounds leave open, other than their own.
 
-    ``here`` has the (number, points, least and greatest radius) of the group's cells, ``blocks`` their numbers of
-    blocks. A query may go to every block, so rows are put out in pieces of ROUTED_ROWS.
+    ``here`` has the (number, points, least and greatest radius) of the group's cells and the number of the slot that
+    each lies in (its own number, if not given), ``blocks`` the numbers of blocks of these slots. A query goes once to
+    a slot, however many of its cells are open. It may go to every block, so rows are put out in pieces of ROUTED_ROWS.
     """
     number = np.array([c[0] for c in here])
+    slot = np.array([c[4] if len(c) > 4 else c[0] for c in here])
     count = np.array([c[1] for c in here])
     lo, hi = np.array([c[2] for c in here]), np.array([c[3] for c in here])
     step = max(1, HELD_CELLS // len(here))
@@ -120,13 +131,15 @@ def _routes(part: pd.DataFrame, pivots: np.ndarray, here: list[tuple], blocks: n
         certain = np.where(enough.any(1), reach[np.arange(len(d)), order[np.arange(len(d)), first]], np.inf)
         limit = np.minimum(rows["bound"].to_numpy(), certain) + SLACK
         q, c = np.nonzero((d - hi <= limit[:, None]) & (lo - d <= limit[:, None]))
+        _, first = np.unique(q * (int(slot.max()) + 1) + slot[c], return_index=True)
+        q, c = q[first], c[first]
         ends = np.cumsum(blocks[c])
         for low in range(0, int(ends[-1]) if len(ends) else 0, ROUTED_ROWS):
             spot = np.arange(low, min(low + ROUTED_ROWS, int(ends[-1])))
             pair = np.searchsorted(ends, spot, side="right")
             block = spot - (ends[pair] - blocks[c[pair]])
             source = rows.iloc[q[pair]]
-            out = pd.DataFrame({"g": source["g"].to_numpy(), "cell": number[c[pair]].astype(np.int32),
+            out = pd.DataFrame({"g": source["g"].to_numpy(), "cell": slot[c[pair]].astype(np.int32),
                                 "block": block.astype(np.int32), "query": source["query"].to_numpy(),
                                 "v": source["v"].to_numpy()})
             home = (out["cell"].to_numpy() == source["cell"].to_numpy()) & (
@@ -140,9 +153,10 @@ def _visit(asked: DataFrame, blocked: DataFrame, pivots, cells, blocks_of, k: in
     ``asked`` has g, query, v, the query's own cell and block (-1: none) and ``bound``, a distance within which k + 1
     points are known to lie (infinite: not known). Queries of a group without points get no rows.
     """
-    routed_schema = T.StructType([
-        T.StructField("g", blocked.schema["g"].dataType), T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType()),
-        T.StructField("query", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    place = [T.StructField("g", blocked.schema["g"].dataType), T.StructField("cell", T.IntegerType()),
+             T.StructField("block", T.IntegerType())]
+    routed_schema = T.StructType([*place, T.StructField("query", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    counts_schema = T.StructType([*place, T.StructField("n", T.LongType())])
 
     def route(batches):
         for pdf in batches:
@@ -150,13 +164,18 @@ def _visit(asked: DataFrame, blocked: DataFrame, pivots, cells, blocks_of, k: in
                 here = cells.get(None if pd.isna(g) else g)
                 if here is None:
                     continue
-                blocks = np.array([blocks_of[(None if pd.isna(g) else g, int(c[0]))] for c in here])
+                blocks = np.array([blocks_of[(None if pd.isna(g) else g, c[4])] for c in here])
                 yield from _routes(part, pivots, here, blocks, k)
 
-    routed = reliable_checkpoint(asked.mapInPandas(route, routed_schema))
-    load = routed.groupBy("g", "cell", "block").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks"))
-    chunked = join_on(routed, load, ["g", "cell", "block"]).withColumn(
+    def count(batches):
+        for routes in route(batches):
+            yield routes.groupby(["g", "cell", "block"], dropna=False).size().reset_index(name="n")
+
+    # Routes are found twice, to be counted and to be sent: their vectors are written once, by the shuffle to the blocks.
+    load = asked.mapInPandas(count, counts_schema).groupBy("g", "cell", "block").agg(
+        F.ceil(F.sum("n") / block_rows).cast("int").alias("chunks"))
+    load = F.broadcast(reliable_checkpoint(load))  # one row a block
+    chunked = join_on(asked.mapInPandas(route, routed_schema), load, ["g", "cell", "block"]).withColumn(
         "chunk", F.pmod(keyed_hash(0, "chunk", "query"), F.col("chunks")).cast("int")).drop("chunks")
     spread = join_on(blocked.drop("ask"), load, ["g", "cell", "block"]).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
@@ -172,9 +191,11 @@ def _visit(asked: DataFrame, blocked: DataFrame, pivots, cells, blocks_of, k: in
 
 
 def _index(data: DataFrame, points_per_cell: int, block_rows: int):
-    """The points (g, id, v, c, ask) in cells and blocks, the pivots, each group's cells and each cell's blocks.
+    """The points (g, id, v, c, ask) in slots and blocks, the pivots, each group's cells, each slot's blocks, rows a block.
 
-    ``c`` numbers the copies of a vector, 1 first; ``data`` must not be empty.
+    ``c`` numbers the copies of a vector, 1 first; ``data`` must not be empty. A slot is one large cell, in as many
+    blocks as it needs, or several small cells of a group that together fill one block; ``cell`` of the points is
+    their slot.
     """
     spark = data.sparkSession
     distinct_n = data.where("c = 1").count()
@@ -197,20 +218,27 @@ def _index(data: DataFrame, points_per_cell: int, block_rows: int):
     stats = placed.groupBy("g", "cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")
     ).collect()  # at most MAX_STATS rows
-    cells = {}
-    for row in stats:
-        cells.setdefault(row["g"], []).append((row["cell"], row["n"], row["lo"], row["hi"]))
-    blocks_of = {(row["g"], row["cell"]): -(-row["n"] // block_rows) for row in stats}
+    block_rows = rows_a_block(sum(row["n"] for row in stats), pivots.shape[1], block_rows)
+    away = _distances(pivots[:1], pivots)[0]  # cells of one slot are about equally far from one point
+    cells, blocks_of, open_slots, slots = {}, {}, {}, 0
+    for row in sorted(stats, key=lambda row: (away[row["cell"]], row["cell"])):
+        g, n = row["g"], row["n"]
+        slot, held = open_slots.get(g, (None, block_rows))
+        if held + n > block_rows:
+            slot, held, slots = slots, 0, slots + 1
+            blocks_of[(g, slot)] = -(-n // block_rows)
+        open_slots[g] = (slot, held + n)
+        cells.setdefault(g, []).append((row["cell"], n, row["lo"], row["hi"], slot))
     shape = spark.createDataFrame(
-        [(g, c, int(n)) for (g, c), n in blocks_of.items()],
+        [(g, c[0], c[4], blocks_of[(g, c[4])]) for g, here in cells.items() for c in here],
         T.StructType([T.StructField("g", group_type), T.StructField("cell", T.IntegerType()),
-                      T.StructField("blocks", T.IntegerType())]),
+                      T.StructField("slot", T.IntegerType()), T.StructField("blocks", T.IntegerType())]),
     )
     blocked = join_on(placed, F.broadcast(shape), ["g", "cell"]).withColumn(
         "block", F.pmod(keyed_hash(0, "block", "id"), F.col("blocks")).cast("int")
     )
-    blocked = reliable_checkpoint(blocked.select("g", "cell", "block", "id", "v", "ask"))
-    return blocked, pivots, cells, blocks_of
+    blocked = reliable_checkpoint(blocked.select("g", F.col("slot").alias("cell"), "block", "id", "v", "ask"))
+    return blocked, pivots, cells, blocks_of, block_rows
 
 
 def nearest_in_group(
@@ -238,7 +266,7 @@ def nearest_in_group(
     data = reliable_checkpoint(data)
     if data.isEmpty():
         return spark.createDataFrame([], "group int, id bigint, rank int, neighbour bigint, distance double")
-    blocked, pivots, cells, blocks_of = _index(data, points_per_cell, block_rows)
+    blocked, pivots, cells, blocks_of, block_rows = _index(data, points_per_cell, block_rows)
 
     # Round 1: each block against itself. Gives partial answers and an upper bound for its queries.
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -290,7 +318,7 @@ def nearest_across(
     rows = queries.select(*names).where("v is not null")
     if data.isEmpty():
         return spark.createDataFrame([], "id bigint, rank int, neighbour bigint, distance double")
-    blocked, pivots, cells, blocks_of = _index(data, points_per_cell, block_rows)
+    blocked, pivots, cells, blocks_of, block_rows = _index(data, points_per_cell, block_rows)
     heads = reliable_checkpoint(rows.groupBy("g", "v").agg(F.min("id").alias("query")))
     asked = heads.select("g", F.lit(-1).alias("cell"), F.lit(-1).alias("block"), "query", "v",
                          F.lit(float("inf")).alias("bound"))

@@ -131,6 +131,26 @@ def test_routed_rows_leave_in_pieces_however_many_blocks_a_query_visits():
     assert sum(map(len, nn._routes(home, pivots, here, blocks, 5))) == 200 * (blocks.sum() - 1)
 
 
+def test_queries_are_sent_once_to_a_block_of_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, [float(v) for v in rng.normal(size=4)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, g int, x array<double>")
+    kept, visits = [], []
+    checkpoint, visit = nn.reliable_checkpoint, nn._visit
+    monkeypatch.setattr(nn, "reliable_checkpoint", lambda d: kept.append(set(d.columns)) or checkpoint(d))
+    monkeypatch.setattr(nn, "_visit", lambda asked, blocked, pivots, cells, blocks_of, *a: visits.append(
+        (len(pivots), sum(blocks_of.values()))) or visit(asked, blocked, pivots, cells, blocks_of, *a))
+    got = nn.nearest_in_group(df, "g", "id", "x", 5, points_per_cell=10, block_rows=80)
+    assert near_lists(got) == brute(rows, 5)
+    assert visits[0][0] == 24 and visits[0][1] <= 7
+    assert not any({"query", "v"} <= columns for columns in kept)  # no table of routes with their vectors
+
+
+def test_blocks_grow_with_the_table_as_far_as_a_task_may_hold():
+    assert [nn.rows_a_block(n, 64, nn.BLOCK_ROWS) for n in (1_000, 720_000, 10**8)] == [8_000, 45_000, 62_500]
+    assert nn.rows_a_block(10**8, 4_000, nn.BLOCK_ROWS) == 1_000 and nn.rows_a_block(10**8, 64, 80) == 80
+
+
 @pytest.mark.parametrize("kind", ["far", "ties", "odd"])
 def test_matrix_products_lose_no_neighbour(kind):
     rng = np.random.default_rng(6)
