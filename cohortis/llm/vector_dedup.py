@@ -13,9 +13,17 @@ from cohortis.llm.common import Forest, Scratch, components
 
 SEED = 5
 PIVOTS = 256  # cells; fitted on a sample of that many distinct vectors, chosen by hash
-BLOCK_ROWS = 4096  # vectors of a cell that are compared with another block at a time, about
+BLOCK_ROWS = 64_000  # vectors of a block that is compared with another at a time, at most
+BLOCK_NUMBERS = 4_000_000  # of a block's vectors: fewer rows a block where vectors are long
+BLOCKS, SMALL_BLOCK = 16, 4096  # smaller tables are cut into so many blocks, so that all cores have work
 SIGMAS = 5.5  # width of the confidence bound in standard deviations of the estimate
-TILE = 512  # rows of a block scanned at a time
+TILE = 512  # rows of a block scanned at a time, at most
+HELD_ESTIMATES = 4_000_000  # of pairs that are scanned at a time
+
+
+def rows_a_block(n: int, width: int, most: int) -> int:
+    """Rows of a block of ``n`` vectors of ``width`` numbers: about a BLOCKS-th of them, as far as a task may hold."""
+    return min(most, max(SMALL_BLOCK, -(-n // BLOCKS)), max(1, BLOCK_NUMBERS // max(1, width)))
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -60,9 +68,10 @@ def linked_pairs(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | Non
     bits = np.unpackbits(left["code"], axis=1, count=dim, bitorder="little")
     signs = (bits * np.float32(2) - 1) / np.float32(np.sqrt(dim))
     least = left["factor"] * (threshold - sigmas * error_scale(left["factor"], dim, threshold)) - 1e-4
-    for at in range(0, len(signs), TILE):
-        estimate = signs[at:at + TILE] @ turned.T
-        i, j = np.nonzero(estimate >= least[at:at + TILE, None])
+    tile = max(1, min(TILE, HELD_ESTIMATES // max(1, len(turned))))
+    for at in range(0, len(signs), tile):
+        estimate = signs[at:at + tile] @ turned.T
+        i, j = np.nonzero(estimate >= least[at:at + tile, None])
         i += at
         if right is None:
             keep = i < j
@@ -83,7 +92,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     the angles between their pivots and the cells' radii prove all their pairs below the threshold. Cells are cut into
     blocks by hash and each pair of blocks is one task: it scans binary codes, recomputes what the bounds leave open,
     and returns the blocks' link counts and a spanning forest of the links, so no pairs leave a task and a large cell
-    is spread over many. All links are found, up to the bound's confidence (a link is lost with a chance below 1e-6).
+    is spread over many. A vector is shuffled once for each block in its reach, which is what fills the disk where
+    nothing can be ruled out: blocks are a sixteenth of the table until they are as large as a task may hold. All links are found, up to the bound's confidence (a link is lost with a chance below 1e-6).
 
     What is null, zero, empty or holds null or non-finite components links with nothing, and so do vectors of
     different lengths. Rows with a null id are counted as links of their equals and neighbours; their own
@@ -136,6 +146,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
         index, "node long, low long, weight long, v binary, dim int, code binary, factor double, cell int, near double"))
     stats = indexed.groupBy("cell", "dim").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()
     slack = np.arccos(threshold) + 1e-6
+    block_rows = rows_a_block(sum(r["n"] for r in stats), max((r["dim"] for r in stats), default=1), block_rows)
     partners: dict[int, list[int]] = {r["cell"]: [] for r in stats}
     blocks = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in stats}
     by_dim: dict[int, list] = {}

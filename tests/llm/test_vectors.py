@@ -97,3 +97,15 @@ def test_queries(spark):
     got = queries()["op2_vector_dedup"](spark, SF).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute.near_vectors(rows)
     assert sorted(map(tuple, queries()["op6_topk"](spark, SF).collect())) == sorted(brute.top_k(rows))
+
+
+def test_blocks_grow_with_the_table_as_far_as_a_task_may_hold(monkeypatch):
+    sizes = [vector_dedup.rows_a_block(n, 64, vector_dedup.BLOCK_ROWS) for n in (1_000, 720_000, 10**8)]
+    assert sizes == [4096, 45_000, 62_500]
+    v = np.random.default_rng(3).normal(size=(60, 8))
+    code, factor = vector_dedup.encode(v / np.linalg.norm(v, axis=1)[:, None])
+    block = {"v": v, "code": code, "factor": factor}
+    whole = [np.concatenate(x) for x in zip(*vector_dedup.linked_pairs(block, None, 0.5))]
+    monkeypatch.setattr(vector_dedup, "HELD_ESTIMATES", 200)  # three rows at a time
+    pieces = [np.concatenate(x) for x in zip(*vector_dedup.linked_pairs(block, None, 0.5))]
+    assert len(whole[0]) > 0 and all(np.array_equal(a, b) for a, b in zip(whole, pieces))
