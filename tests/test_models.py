@@ -349,6 +349,14 @@ def test_fit_rbf_svm_fits_to_convergence(spark, asked):
     assert asked["fits"][0].getMaxIter() == G.UNTIL_CONVERGED and asked["folds"] == [5]
 
 
+def test_fit_rbf_svm_writes_no_wide_rows(spark, asked, monkeypatch):
+    written = []
+    monkeypatch.setattr(modelling, "reliable_checkpoint", lambda df: written.append(df.columns) or df)
+    with pytest.raises(Fitted):
+        modelling.fit_rbf_svm(spark, "")
+    assert written == []
+
+
 def test_linear_svm_ends_by_its_tolerance(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 6)) * [1, 3, 10, 30, 0.1, 0.01]
